@@ -136,7 +136,8 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 
 # One leaflet per order, one page per order line; a page holds one line of text.
 VIEWS["leaflet_pages"] = """
-SELECT l_orderkey AS doc_id, 's' || CAST(o_custkey % 50 AS STRING) AS retailer_slug, l_linenumber AS page_no,
+SELECT l_orderkey AS doc_id, 's' || CAST(o_custkey % 50 AS STRING) AS retailer_slug,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS page_no,
   p_name || CASE l_linenumber % 3 WHEN 0 THEN ' nu € ' || CAST(p_size AS STRING) || ',49' WHEN 1 THEN ' € ' || CAST(p_size AS STRING) || '.99 van € 99,00 -20 %' ELSE ' zonder prijs' END AS text
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 """
@@ -163,7 +164,7 @@ FROM part
 
 # Text of product cards, as an array per page.
 VIEWS["card_texts"] = """
-SELECT p_partkey AS page_id, 's' || CAST(p_partkey % 30 AS STRING) AS retailer_slug,
+SELECT p_partkey AS page_id, 's' || CAST(p_partkey % 60 AS STRING) AS retailer_slug,
   split(p_name || chr(10) || '€ ' || CAST(p_size AS STRING) || ',99' || chr(10) || 'nu € 2,50 -10%'
   || '@' || 'Menu' || chr(10) || p_brand || ' extra € 0,00' || chr(10) || 'gratis'
   || '@' || UPPER(p_name) || ' € 7.25' || chr(10) || 'again'
