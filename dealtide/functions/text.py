@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 ANY = r"[^\n\r\x{2028}\x{2029}]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
-# ASCII word boundary, also next to accented letters (where the JVM's \b does not match).
-EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+# ASCII word edges, also next to accented letters (where the JVM's \b does not match).
+WORD_START = r"(?<![A-Za-z0-9_])"
+WORD_END = r"(?![A-Za-z0-9_])"
 CASELESS = r"(?iu)"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

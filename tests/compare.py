@@ -75,7 +75,7 @@ def main(argv):
     from dealtide.session import build_session
 
     sf_dir = argv[0]
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     names = [n for n in QUERIES if len(argv) == 1 or any(n.startswith(a) for a in argv[1:])]
