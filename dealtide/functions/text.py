@@ -12,14 +12,18 @@ NOT_SPACE = SPACE.replace("[", "[^", 1)
 # ASCII word edges, also next to accented letters (where the JVM's \b does not match).
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
-CASELESS = r"(?iu)"
+CASELESS = r"(?i)"  # letters beyond a-z are listed in both cases in the patterns
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_SPACE_CODES = [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+_SPACES = "".join(map(chr, _SPACE_CODES))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def erase(text: Column, pattern: str) -> Column:
@@ -28,7 +32,7 @@ def erase(text: Column, pattern: str) -> Column:
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
     """First match of ``pattern``, null when there is none."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def utf16_length(text: Column) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..functions.markup import parse_html, select, text_of
 from ..functions.prices import EURO_PRICE, number_prefix, numbers_in, parse_price
 from ..functions.text import (
@@ -91,7 +92,7 @@ def jsonld_deals(pages: DataFrame) -> DataFrame:
         )
 
     deals = F.filter(F.transform(candidates, deal), lambda d: d["product"].isNotNull())
-    rows = found.select(*kept, F.posexplode(deals).alias("_n", "_deal"))
+    rows = unnest(found, kept, deals, "_deal")
     return rows.select(*kept, F.concat(F.lit("jsonld-"), F.col("_n").cast("string")).alias("id"), "_deal.*")
 
 
@@ -242,7 +243,7 @@ def page_text_deals(pages: DataFrame) -> DataFrame:
         )
 
     deals = F.array_sort(F.filter(F.transform(firsts, deal), lambda d: d["promo_price"].isNotNull()))
-    rows = by_key.select(*kept, F.posexplode(deals).alias("_n", "_deal"))
+    rows = unnest(by_key, kept, deals, "_deal")
     return rows.select(
         *kept, F.concat(F.lit("pagetext-"), F.col("_n").cast("string")).alias("id"),
         "_deal.product", "_deal.original_price", "_deal.promo_price", "_deal.discount",

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..functions.prices import EURO_PRICE, PLAIN_PRICE, numbers_in
 from ..functions.text import CASELESS, SPACE, WORD_END, WORD_START, erase, first_match, longer_than, strip
 
 # Wording of discounts and of words that precede a name.
-NEAR_DISCOUNT = rf"{CASELESS}-?\d+{SPACE}*%|[123]{SPACE}*\+{SPACE}*[123]|gratis|korting|réduction"
+NEAR_DISCOUNT = rf"{CASELESS}-?\d+{SPACE}*%|[123]{SPACE}*\+{SPACE}*[123]|gratis|korting|r[éÉ]duction"
 ONLY_DISCOUNT = (
     rf"{CASELESS}-\d+{SPACE}*%|\d+{SPACE}*\+{SPACE}*\d+{SPACE}*gratis"
     rf"|[234]e?{SPACE}*(?:halve{SPACE}*prijs|gratis)|koop{SPACE}*\d+{SPACE}*betaal"
@@ -22,8 +23,6 @@ NAKED_PRICE = rf"{WORD_START}\d{{1,3}}[.,]\d{{2}}{WORD_END}"
 LEADING_NOISE = rf"{CASELESS}^(?:per{SPACE}*(?:stuk|kg|liter|l)|vanaf|nu|nieuw|actie|promo|van){SPACE}*"
 MAX_PAGES = 12
 
-BLOCK = "struct<kind:string,product:string,original_price:double,promo_price:double,discount:string>"
-
 
 def clean_product_name(name: Column) -> Column:
     """Without prices, one leading noise word, and signs at either end."""
@@ -39,76 +38,81 @@ def line_array(text: Column) -> Column:
 
 
 def neighbour_array(lines: Column) -> Column:
-    """Each line with the one before and the one after it."""
-    nothing = F.array(F.lit(None).cast("string"))
-    before = F.concat(nothing, F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))))
-    after = F.concat(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), nothing)
-    return F.when(F.size(lines) > 0, F.arrays_zip(lines.alias("line"), before.alias("prev"), after.alias("next"))).otherwise(
-        F.array().cast("array<struct<line:string,prev:string,next:string>>")
-    )
+    """Each line with the one before and the one after it; one more entry, without a line, closes the array."""
+    before = F.concat(F.array(F.lit(None).cast("string")), lines)
+    after = F.slice(lines, 2, F.size(lines))
+    return F.arrays_zip(lines.alias("line"), before.alias("prev"), after.alias("next"))
 
 
-def text_lines(docs: DataFrame) -> DataFrame:
-    """One row per kept line: its index from 0 and its neighbours."""
+def _with_neighbours(docs: DataFrame) -> DataFrame:
     split = docs.withColumn("_lines", line_array(F.col("text")))
-    rows = split.withColumn("_near", neighbour_array(F.col("_lines"))).select(
-        *[c for c in docs.columns if c != "text"], F.posexplode("_near").alias("i", "_at")
-    )
-    return rows.select("*", F.col("_at.line").alias("line"), F.col("_at.prev").alias("prev"), F.col("_at.next").alias("next")).drop("_at")
-
-
-def _block(kind: str, product: Column, original: Column, promo: Column, discount: Column) -> Column:
-    named = F.struct(
-        F.lit(kind).alias("kind"),
-        product.alias("product"),
-        original.cast("double").alias("original_price"),
-        promo.cast("double").alias("promo_price"),
-        discount.cast("string").alias("discount"),
-    )
-    return F.when(longer_than(product, 2), named)
-
+    return split.withColumn("_near", neighbour_array(F.col("_lines")))
 
-def _own_or_previous(own: Column, prev: Column) -> Column:
-    return clean_product_name(F.when(longer_than(own, 2), own).otherwise(F.coalesce(prev, own)))
 
-
-def euro_block(line: Column, prev: Column, following: Column) -> Column:
-    """A line with euro prices: two or more give original and promo price, one gives the promo price."""
-    prices = numbers_in(line, EURO_PRICE)
-    several = F.size(prices) >= 2
-    name = _own_or_previous(strip(erase(erase(line, EURO_PRICE), PLAIN_PRICE)), prev)
-    discount = F.coalesce(first_match(line, NEAR_DISCOUNT), first_match(following, NEAR_DISCOUNT))
-    return _block("euro_price", name, F.when(several, F.array_max(prices)), F.array_min(prices), strip(discount))
+def text_lines(docs: DataFrame) -> DataFrame:
+    """One row per kept line: its index from 0 and its neighbours."""
+    kept = [c for c in docs.columns if c != "text"]
+    rows = unnest(_with_neighbours(docs), kept, F.col("_near"), "_at", "i")
+    return rows.filter(F.col("_at.line").isNotNull()).select(*kept, "i", "_at.line", "_at.prev", "_at.next")
 
 
-def discount_block(line: Column, prev: Column) -> Column:
-    """A line with a discount phrase and no euro price: the name is the line before."""
-    name = clean_product_name(F.coalesce(prev, F.lit("")))
-    return _block("discount_only", name, F.lit(None), F.lit(None), strip(first_match(line, ONLY_DISCOUNT)))
+def _kind(line: Column) -> Column:
+    """Which rule a line falls under: the first that applies uses the line up, null for none."""
+    return (
+        F.when(line.rlike(EURO_PRICE), "euro_price")
+        .when(line.rlike(ONLY_DISCOUNT), "discount_only")
+        .when(F.regexp_count(line, F.lit(NAKED_PRICE)) >= 2, "naked_price")
+    )
 
 
-def naked_block(line: Column, prev: Column) -> Column:
-    """A line with two or more prices without a sign."""
-    prices = numbers_in(line, NAKED_PRICE, 0)
-    name = _own_or_previous(strip(erase(line, NAKED_PRICE)), prev)
-    return _block("naked_price", name, F.array_max(prices), F.array_min(prices), F.lit(None))
+def block_array(near: Column) -> Column:
+    """What the lines of a document say: kind, index, name, prices and discount of each line that says something.
 
+    * euro prices: two or more give original and promo price, one the promo price; the discount stands
+      on the line or on the next one;
+    * a discount phrase without a euro price: the name is the line before;
+    * two or more prices without a sign.
 
-def block_of(line: Column, prev: Column, following: Column) -> Column:
-    """What a line says, null when nothing. The first rule that applies uses the line up, name or not."""
-    return (
-        F.when(line.rlike(EURO_PRICE), euro_block(line, prev, following))
-        .when(line.rlike(ONLY_DISCOUNT), discount_block(line, prev))
-        .when(F.regexp_count(line, F.lit(NAKED_PRICE)) >= 2, naked_block(line, prev))
-        .otherwise(F.lit(None).cast(BLOCK))
+    The name is the line without its prices, or the line before if that leaves less than three
+    characters. Built in steps, each of which computes its values once per line.
+    """
+    kinds = F.filter(
+        F.transform(near, lambda at, i: F.struct(i.alias("i"), _kind(at["line"]).alias("kind"), at.alias("at"))),
+        lambda e: e["kind"].isNotNull(),
     )
 
+    def read(e: Column) -> Column:
+        kind, line = e["kind"], e["at"]["line"]
+        own = F.when(kind == "euro_price", strip(erase(erase(line, EURO_PRICE), PLAIN_PRICE))).when(
+            kind == "naked_price", strip(erase(line, NAKED_PRICE))
+        )
+        prices = F.when(kind == "euro_price", numbers_in(line, EURO_PRICE)).when(
+            kind == "naked_price", numbers_in(line, NAKED_PRICE, 0)
+        )
+        discount = F.when(
+            kind == "euro_price", F.coalesce(first_match(line, NEAR_DISCOUNT), first_match(e["at"]["next"], NEAR_DISCOUNT))
+        ).when(kind == "discount_only", first_match(line, ONLY_DISCOUNT))
+        return F.struct(
+            e["i"].alias("i"), kind.alias("kind"), F.coalesce(own, F.lit("")).alias("own"),
+            e["at"]["prev"].alias("prev"), prices.alias("prices"), strip(discount).alias("discount"),
+        )
+
+    def name(e: Column) -> Column:
+        source = F.when(longer_than(e["own"], 2), e["own"]).otherwise(F.coalesce(e["prev"], e["own"]))
+        return F.struct(
+            e["kind"].alias("kind"), e["i"].alias("i"), clean_product_name(source).alias("product"),
+            F.when(F.size(e["prices"]) >= 2, F.array_max(e["prices"])).alias("original_price"),
+            F.array_min(e["prices"]).alias("promo_price"), e["discount"].alias("discount"),
+        )
+
+    return F.filter(F.transform(F.transform(kinds, read), name), lambda b: longer_than(b["product"], 2))
+
 
 def line_blocks(lines: DataFrame) -> DataFrame:
     """Blocks found in the rows of ``text_lines``."""
-    found = lines.withColumn("_block", block_of(F.col("line"), F.col("prev"), F.col("next")))
-    found = found.filter(F.col("_block").isNotNull())
-    return found.select(*[c for c in lines.columns if c not in ("line", "prev", "next")], "_block.*")
+    kept = [c for c in lines.columns if c not in ("line", "prev", "next")]
+    found = unnest(lines, kept, block_array(F.array(F.struct("line", "prev", "next"))), "_block")
+    return found.select(*kept, "_block.kind", "_block.product", "_block.original_price", "_block.promo_price", "_block.discount")
 
 
 def euro_price_deals(lines: DataFrame) -> DataFrame:
@@ -127,7 +131,7 @@ def _useful(block: Column) -> Column:
     def priced(field: str) -> Column:
         return F.coalesce(block[field] != 0, F.lit(False))
 
-    return block.isNotNull() & (priced("promo_price") | priced("original_price") | block["discount"].isNotNull())
+    return priced("promo_price") | priced("original_price") | block["discount"].isNotNull()
 
 
 def text_deals(docs: DataFrame) -> DataFrame:
@@ -136,9 +140,7 @@ def text_deals(docs: DataFrame) -> DataFrame:
     ``docs``: retailer_slug, text and any further columns, which are kept.
     """
     kept = [c for c in docs.columns if c != "text"]
-    near = docs.withColumn("_lines", line_array(F.col("text"))).withColumn("_near", neighbour_array(F.col("_lines")))
-    blocks = F.transform("_near", lambda at: block_of(at["line"], at["prev"], at["next"]))
-    deals = near.select(*kept, F.posexplode(F.filter(blocks, _useful)).alias("_n", "_deal"))
+    deals = unnest(_with_neighbours(docs), kept, F.filter(block_array(F.col("_near")), _useful), "_deal")
     deal_id = F.concat_ws("-", F.col("retailer_slug"), F.lit("pdf"), F.col("_n").cast("string"))
     return deals.select(
         *kept, deal_id.alias("id"), "_deal.product", "_deal.original_price", "_deal.promo_price", "_deal.discount"

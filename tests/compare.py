@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import re
 import sys
 import time
 
@@ -48,6 +49,7 @@ def kinds(columns, types):
         "float": "double", "boolean": "bool", "timestamp_ntz": "timestamp", "smallint": "int",
     }
     names = [str(t).lower() for t in types]
+    names = [re.sub(r"^array<string>$", "varchar[]", t) for t in names]
     return {c: short.get(t, t.split("(")[0]) for c, t in zip(columns, names)}
 
 
