@@ -34,10 +34,12 @@ def folder_id(slug: Column, moment: Column, suffix: str = "folder") -> Column:
 
 
 def iso_instant(text: Column) -> Column:
-    """ISO date or date-time text as a zone-free UTC timestamp; null if it is neither."""
-    day = F.when(text.rlike(ISO_DAY), F.concat(text, F.lit("T00:00:00Z"))).otherwise(text)
-    shaped = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), day)
-    return F.to_utc_timestamp(shaped.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    """ISO date or date-time text as a zone-free UTC timestamp; month-first dates read as browsers do; else null."""
+    zoned = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), text).try_cast("timestamp")
+    moment = F.to_utc_timestamp(zoned, F.current_timezone()).cast("timestamp_ntz")
+    month_first = F.regexp_replace(text, r"^(\d{2})[-/](\d{2})[-/](\d{4})\z", "$3-$1-$2")
+    day = F.when(month_first.rlike(ISO_DAY), month_first).try_cast("timestamp_ntz")
+    return F.coalesce(day, moment)
 
 
 def end_of_day(text: Column) -> Column:
@@ -46,7 +48,7 @@ def end_of_day(text: Column) -> Column:
 
 
 def hours_between(later: Column, earlier: Column) -> Column:
-    """Fractional hours from ``earlier`` to ``later`` (both zone-free)."""
+    """Fractional hours from ``earlier`` to ``later`` (both zone-free); negative if ``later`` comes first."""
     return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(3_600_000_000.0)
 
 

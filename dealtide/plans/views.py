@@ -193,6 +193,13 @@ SELECT 's' || CAST(l_suppkey AS STRING) AS slug,
 FROM lineitem
 """
 
+# Scrape runs as a log of attempts, numbered within run and retailer.
+VIEWS["attempt_log"] = """
+SELECT run_id, retailer_slug AS slug, CAST(row_number() OVER (PARTITION BY run_id, retailer_slug ORDER BY started_at, id) AS INT) AS attempt,
+  status = 'scrape_success' AS ok, CASE WHEN status <> 'scrape_success' THEN 'failed ' || CAST(id AS STRING) END AS error
+FROM scrape_runs
+"""
+
 VIEWS["crawl_configs"] = """
 SELECT 's' || CAST(s_suppkey AS STRING) AS slug, s_name AS name,
   split(CASE s_suppkey % 4 WHEN 0 THEN 'https://a.example.com/1,https://a.example.com/1' WHEN 1 THEN 'ftp://a.example.com' WHEN 2 THEN 'https://a.example.com/1,https://a.example.com/2' ELSE 'folder,https://b.example.com' END, ',') AS folder_urls,
