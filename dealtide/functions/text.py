@@ -60,11 +60,19 @@ def js_percent_decode(text: Column) -> Column:
     return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
-def query_value(url: Column, key: str) -> Column:
-    """Value of one query parameter, form-decoded; null when absent."""
-    raw = F.regexp_extract(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), rf"(?:^|&){key}=([^&]*)", 1)
-    decoded = F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" ")))
-    return F.nullif(decoded, F.lit(""))
+def query_values(url: Column, keys: list[str]) -> Column:
+    """The named query parameters as a struct, form-decoded; absent and blank ones null.
+
+    The query is cut out once and each value decoded once: one-element arrays hold them in between.
+    """
+    def decode(raw: Column) -> Column:
+        return F.nullif(F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" "))), F.lit(""))
+
+    query = F.array(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1))
+    raws = F.transform(query, lambda q: F.array(*[F.regexp_extract(q, rf"(?:^|&){key}=([^&]*)", 1) for key in keys]))
+    values = F.transform(raws, lambda r: F.transform(r, decode))
+    named = F.transform(values, lambda v: F.struct(*[F.get(v, F.lit(n)).alias(key) for n, key in enumerate(keys)]))
+    return F.get(named, F.lit(0))
 
 
 def any_of(text: Column, words: list[str]) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import js_percent_decode, present, query_value, strip, utf16_length
+from ..functions.text import js_percent_decode, present, query_values, strip
 from .events import ATTRIBUTION, ENGAGEMENT_EVENTS, OUTBOUND
 
 # Cookie names, parameters and limits.
@@ -20,6 +20,7 @@ UTM_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_content"]
 UTM_URL_KEYS = [*UTM_KEYS, "utm_term"]
 MAX_ATTRIBUTION_CHARS = 1500
 VIEW_PATH = "/folders/"
+JS_SAFE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_.!~*'()"
 
 EVENT_COLUMNS = [
     "created_at", "event_name", "path", "retailer", "destination_url", *UTM_KEYS, "user_agent", "referrer",
@@ -57,7 +58,7 @@ def parse_attribution_cookie(raw: Column) -> Column:
 
 def utm_from_url(url: Column) -> Column:
     """The five utm parameters of a URL, blank ones null."""
-    return F.struct(*[query_value(url, key).alias(key) for key in UTM_URL_KEYS])
+    return query_values(url, UTM_URL_KEYS)
 
 
 def url_path(url: Column) -> Column:
@@ -67,8 +68,8 @@ def url_path(url: Column) -> Column:
 
 def _js_encoded_length(text: Column) -> Column:
     """Length of ``text`` after JavaScript's component encoding: each byte outside its safe set takes three."""
-    safe = F.regexp_count(text, F.lit(r"[A-Za-z0-9\-_.!~*'()]"))
-    return F.octet_length(text) * 3 - safe * 2
+    other = F.translate(text, JS_SAFE, "")
+    return F.length(text) - F.length(other) + F.octet_length(other) * 3
 
 
 def _no(kind: str = "string") -> Column:

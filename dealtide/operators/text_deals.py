@@ -21,15 +21,16 @@ ONLY_DISCOUNT = (
 )
 NAKED_PRICE = rf"{WORD_START}\d{{1,3}}[.,]\d{{2}}{WORD_END}"
 LEADING_NOISE = rf"{CASELESS}^(?:per{SPACE}*(?:stuk|kg|liter|l)|vanaf|nu|nieuw|actie|promo|van){SPACE}*"
+CORE = r"(?s)[a-zA-Z0-9À-ÿ](?:.*[a-zA-Z0-9À-ÿ])?"
 MAX_PAGES = 12
 
 
 def clean_product_name(name: Column) -> Column:
     """Without prices, one leading noise word, and signs at either end."""
-    bare = erase(erase(name, EURO_PRICE), NAKED_PRICE)
-    bare = erase(bare, LEADING_NOISE)
-    bare = erase(erase(bare, r"^[^a-zA-Z0-9À-ÿ]+"), r"[^a-zA-Z0-9À-ÿ]+\z")
-    return strip(bare)
+    priced = F.contains(name, F.lit(",")) | F.contains(name, F.lit("."))
+    bare = F.when(priced, erase(erase(name, EURO_PRICE), NAKED_PRICE)).otherwise(name)
+    # From the first letter or digit to the last one; empty when there is none.
+    return F.regexp_extract(erase(bare, LEADING_NOISE), CORE, 0)
 
 
 def line_array(text: Column) -> Column:
@@ -97,15 +98,22 @@ def block_array(near: Column) -> Column:
             e["at"]["prev"].alias("prev"), prices.alias("prices"), strip(discount).alias("discount"),
         )
 
-    def name(e: Column) -> Column:
-        source = F.when(longer_than(e["own"], 2), e["own"]).otherwise(F.coalesce(e["prev"], e["own"]))
+    def source(e: Column) -> Column:
+        text = F.when(longer_than(e["own"], 2), e["own"]).otherwise(F.coalesce(e["prev"], e["own"]))
         return F.struct(
-            e["kind"].alias("kind"), e["i"].alias("i"), clean_product_name(source).alias("product"),
+            e["i"].alias("i"), e["kind"].alias("kind"), text.alias("source"), e["prices"].alias("prices"),
+            e["discount"].alias("discount"),
+        )
+
+    def block(e: Column) -> Column:
+        return F.struct(
+            e["kind"].alias("kind"), e["i"].alias("i"), clean_product_name(e["source"]).alias("product"),
             F.when(F.size(e["prices"]) >= 2, F.array_max(e["prices"])).alias("original_price"),
             F.array_min(e["prices"]).alias("promo_price"), e["discount"].alias("discount"),
         )
 
-    return F.filter(F.transform(F.transform(kinds, read), name), lambda b: longer_than(b["product"], 2))
+    read_all = F.transform(F.transform(kinds, read), source)
+    return F.filter(F.transform(read_all, block), lambda b: longer_than(b["product"], 2))
 
 
 def line_blocks(lines: DataFrame) -> DataFrame:
