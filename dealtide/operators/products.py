@@ -51,7 +51,7 @@ def product_rows(deals: DataFrame, as_of: datetime | str) -> DataFrame:
         deals,
         {
             "retailer_name": "string", "image_url": "string", "affiliate_url": "string", "source_method": "string",
-            "source_url": "string", "folder_title": "string", "description": "string", "category": "string",
+            "source_url": "string", "folder_title": "string", "description": "string", "category": "string", "discount": "string",
         },
     )
     day = F.col("valid_from").cast("date")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.events import EXPORT_COLUMNS
+from ..operators.events import EXPORT_COLUMNS, events_for_export
 from ..operators.health import health_summary
 from ..operators.products import PARTITIONS
 
@@ -62,10 +62,11 @@ def csv_line(columns: list[str]) -> Column:
     return F.concat_ws(",", *[cell(c) for c in columns])
 
 
-def export_events_csv(events: DataFrame, path: str) -> None:
-    """Events (see ``events_for_export``, at most 50,000 rows) as CSV with a header."""
+def export_events_csv(events: DataFrame, path: str, as_of, **filters) -> None:
+    """The export of ``events_for_export`` as one CSV file with a header; it never has more than 50,000 rows."""
     (
-        export_rows(events)
+        export_rows(events_for_export(events, as_of, **filters))
+        .coalesce(1)
         .write.mode("overwrite")
         .options(
             header="true", quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace="false",
