@@ -61,7 +61,7 @@ def bucket_responses(responses: DataFrame, by: list[str], order: str = "seq") ->
         ),
         bucket("api_json", F.contains(kind, F.lit("application/json")) & any_of(url, API_WORDS)),
     )
-    rows = responses.select(*by, order, F.explode(F.array_compact(kinds)).alias("b"))
+    rows = unnest(responses, [*by, order], kinds, "b")
     return rows.groupBy(*by, F.col("b.bucket").alias("bucket"), F.col("b.url").alias("url")).agg(
         F.min(order).alias(order)
     )
@@ -206,6 +206,7 @@ def build_folder_rows(captures: DataFrame, screenshots: DataFrame, as_of, max_pa
     pages of a leaflet are taken, so the page list is small.
     """
     shots = screenshots.filter(F.col("page_number").between(1, max_pages))
+    shots = shots.groupBy("slug", "page_number").agg(F.min("image_url").alias("image_url"))
     pages = shots.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("page_number", "image_url"))).alias("pages"))
     now = clock(as_of)
     empty = F.array().cast("array<struct<page_number:int,image_url:string>>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.skew import salted_join
 from ..functions.text import present
 
 RUN_FIELDS = ["status", "message", "fingerprint", "embed_url", "pdf_url", "scraped_data"]
@@ -20,10 +21,11 @@ def fingerprint_hash(raw: Column) -> Column:
 def detect_changes(probes: DataFrame, state: DataFrame) -> DataFrame:
     """Probed fingerprints against the stored ones; no stored value counts as a change.
 
-    ``probes``: slug, fingerprint_raw and more; ``state``: one row per slug with its stored hash.
+    ``probes``: slug, id, fingerprint_raw and more; ``state``: one row per slug with its stored hash.
     """
     stored = state.select("slug", F.col("fingerprint").alias("stored"))
-    joined = probes.withColumn("fingerprint", fingerprint_hash(F.col("fingerprint_raw"))).join(stored, "slug", "left")
+    hashed = probes.withColumn("fingerprint", fingerprint_hash(F.col("fingerprint_raw")))
+    joined = salted_join(hashed, stored, ["slug"], ["fingerprint_raw", "id"], "left")
     known = F.coalesce(present(F.col("stored")), F.lit(False))
     return joined.withColumn("changed", ~known | ~F.col("fingerprint").eqNullSafe(F.col("stored"))).drop("stored")
 
@@ -31,26 +33,26 @@ def detect_changes(probes: DataFrame, state: DataFrame) -> DataFrame:
 def change_history(probes: DataFrame) -> DataFrame:
     """Which probes of a history differ from the one before them of the same retailer.
 
-    ``probes``: slug, probed_at, id, fingerprint_raw. The history of one retailer is cut by month, so no
-    task holds more than a month of it; the last value of each month is carried into the next one
-    through a table of one row per retailer and month.
+    ``probes``: slug, probed_at, id, fingerprint_raw. The history of one retailer is cut by day, so no
+    task holds more than a day of it; the last value of each day is carried into the next one through a
+    table of one row per retailer and day.
     """
     rows = probes.withColumn("fingerprint", fingerprint_hash(F.col("fingerprint_raw"))).withColumn(
-        "_month", F.date_format("probed_at", "yyyy-MM")
+        "_day", F.to_date("probed_at")
     )
     turn = F.struct("probed_at", "id")
-    ends = rows.groupBy("slug", "_month").agg(F.max_by(F.struct("fingerprint"), turn).alias("end"))
-    carried = ends.withColumn("carry", F.lag("end").over(Window.partitionBy("slug").orderBy("_month"))).select(
-        "slug", "_month", "carry"
+    ends = rows.groupBy("slug", "_day").agg(F.max_by(F.struct("fingerprint"), turn).alias("end"))
+    carried = ends.withColumn("carry", F.lag("end").over(Window.partitionBy("slug").orderBy("_day"))).select(
+        "slug", "_day", "carry"
     )
-    inside = F.lag(F.struct("fingerprint")).over(Window.partitionBy("slug", "_month").orderBy("probed_at", "id"))
+    inside = F.lag(F.struct("fingerprint")).over(Window.partitionBy("slug", "_day").orderBy("probed_at", "id"))
     before = F.coalesce(F.col("inside"), F.col("carry"))["fingerprint"]
     known = F.coalesce(present(before), F.lit(False))
     return (
         rows.withColumn("inside", inside)
-        .join(carried, ["slug", "_month"], "left")
+        .join(carried, ["slug", "_day"], "left")
         .withColumn("changed", ~known | ~F.col("fingerprint").eqNullSafe(before))
-        .drop("inside", "carry", "_month")
+        .drop("inside", "carry", "_day")
     )
 
 

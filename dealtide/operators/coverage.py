@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..functions.text import present
 from ..params import clock
 from .folders import pick_current
@@ -124,7 +125,7 @@ def config_quality(configs: DataFrame) -> DataFrame:
         ("folder_urls_repeated", repeated("folder_urls")),
         ("deal_urls_repeated", repeated("deal_urls")),
     ]
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in rules]))
-    per_config = configs.select("slug", F.explode(broken).alias("rule"))
+    broken = F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in rules])
+    per_config = unnest(configs, ["slug"], broken, "rule").drop("_n")
     twice = configs.groupBy("slug").count().filter("count > 1").select("slug", F.lit("slug_repeated").alias("rule"))
     return per_config.unionAll(twice)

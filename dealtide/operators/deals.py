@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..functions.text import present, strip
 
 DEAL_COLUMNS = ["retailer_slug", "product", "original_price", "promo_price", "discount"]
@@ -74,8 +75,8 @@ def deal_violations(deals: DataFrame, slug: str = "doc_slug") -> DataFrame:
         ("image_url_shape", present(F.col("image_url")) & ~F.col("image_url").rlike(r"^(?:https?://|/)")),
         ("id_missing", F.col("id").isNull()),
     ]
-    broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
-    return deals.select(F.col(slug).alias("slug"), "id", F.explode(broken).alias("rule"))
+    broken = F.array(*[F.when(test, F.lit(name)) for name, test in rules])
+    return unnest(deals, [F.col(slug).alias("slug"), "id"], broken, "rule").drop("_n")
 
 
 def duplicate_deals(deals: DataFrame) -> DataFrame:

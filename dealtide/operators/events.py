@@ -234,9 +234,7 @@ def campaign_go_no_go(events, as_of, campaign: str, baseline: str, days=14) -> D
     kept = _window(events, as_of, days, 14).filter(F.col("event_name").isin(ATTRIBUTION, OUTBOUND))
     posts = post_counts(kept.filter(F.col("utm_campaign").isin(campaign, baseline)), "utm_campaign")
     middle = posts.filter(F.col("utm_campaign") == baseline).agg(F.median("outbound_click_total")).scalar()
-    return posts.filter(F.col("utm_campaign") == campaign).select(
-        "utm_content",
-        F.col("outbound_click_total").alias("clicks"),
-        middle.alias("baseline_median"),
-        (F.col("outbound_click_total") >= middle).alias("go"),
+    rated = posts.filter(F.col("utm_campaign") == campaign).select(
+        "utm_content", F.col("outbound_click_total").alias("clicks"), middle.alias("baseline_median")
     )
+    return rated.withColumn("go", F.col("clicks") >= F.col("baseline_median"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..functions.dates import ISO_DAY, end_of_day, format_age, hours_between, iso_instant
 from ..functions.text import present
 from ..params import clock
@@ -86,7 +87,7 @@ def document_issues() -> Column:
 
 def validate_docs(docs: DataFrame) -> DataFrame:
     """One row per issue: slug, field, message, severity."""
-    return docs.select("slug", F.explode(document_issues()).alias("issue")).select("slug", "issue.*")
+    return unnest(docs, ["slug"], document_issues(), "issue").select("slug", "issue.*")
 
 
 def run_status(attempts: DataFrame, docs: DataFrame, as_of) -> DataFrame:
@@ -196,15 +197,16 @@ def health_summary(entries: DataFrame) -> DataFrame:
 
 def run_alerts(entries: DataFrame) -> DataFrame:
     """What a run has to report: retailer, kind, whether it fails the run."""
-    kinds = F.array_compact(
-        F.array(
-            F.when(F.col("status") == "missing", F.struct(F.lit("missing").alias("kind"), F.lit(True).alias("fatal"))),
-            F.when(F.col("status") == "stale", F.struct(F.lit("stale").alias("kind"), F.lit(False).alias("fatal"))),
-            F.when(has_errors(), F.struct(F.lit("validation_errors").alias("kind"), F.lit(False).alias("fatal"))),
-            F.when(has_dead_urls(), F.struct(F.lit("dead_urls").alias("kind"), F.lit(False).alias("fatal"))),
-        )
+    def alert(test: Column, kind: str, fatal: bool) -> Column:
+        return F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(fatal).alias("fatal")))
+
+    kinds = F.array(
+        alert(F.col("status") == "missing", "missing", True),
+        alert(F.col("status") == "stale", "stale", False),
+        alert(has_errors(), "validation_errors", False),
+        alert(has_dead_urls(), "dead_urls", False),
     )
-    return entries.select("run_id", "slug", F.explode(kinds).alias("alert")).select("run_id", "slug", "alert.*")
+    return unnest(entries, ["run_id", "slug"], kinds, "alert").select("run_id", "slug", "alert.*")
 
 
 def _violations(docs: DataFrame, rules: list[tuple[str, Column]], folder_rules) -> DataFrame:
@@ -227,8 +229,7 @@ def _violations(docs: DataFrame, rules: list[tuple[str, Column]], folder_rules)
     nested = F.coalesce(
         F.flatten(F.transform("folders", of_folder)), F.array().cast("array<struct<folder:int,rule:string>>")
     )
-    broken = F.array_compact(F.concat(own, nested))
-    return docs.select("slug", F.explode(broken).alias("v")).select("slug", "v.*")
+    return unnest(docs, ["slug"], F.concat(own, nested), "v").select("slug", "v.*")
 
 
 def contract_violations(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..functions.text import js_percent_decode, present, query_values, strip
 from .events import ATTRIBUTION, ENGAGEMENT_EVENTS, OUTBOUND
 
@@ -197,12 +198,14 @@ def scroll_milestones(samples: DataFrame) -> DataFrame:
         F.min(F.when(pct >= 90, ts)).alias("most"),
     )
     engaged = F.col("begin") + F.expr("INTERVAL 15 SECONDS")
-    reached = F.array_compact(
-        F.array(
-            F.struct(F.lit("folder_view").alias("event_name"), F.col("begin").alias("created_at")),
-            F.when(F.col("end") >= engaged, F.struct(F.lit("folder_engaged_15s").alias("event_name"), engaged.alias("created_at"))),
-            F.when(F.col("half").isNotNull(), F.struct(F.lit("folder_scroll_50").alias("event_name"), F.col("half").alias("created_at"))),
-            F.when(F.col("most").isNotNull(), F.struct(F.lit("folder_scroll_90").alias("event_name"), F.col("most").alias("created_at"))),
-        )
+
+    def milestone(name: str, at: Column) -> Column:
+        return F.when(at.isNotNull(), F.struct(F.lit(name).alias("event_name"), at.alias("created_at")))
+
+    reached = F.array(
+        milestone("folder_view", F.col("begin")),
+        milestone("folder_engaged_15s", F.when(F.col("end") >= engaged, engaged)),
+        milestone("folder_scroll_50", F.col("half")),
+        milestone("folder_scroll_90", F.col("most")),
     )
-    return per_view.select("view_id", F.explode(reached).alias("m")).select("view_id", "m.*")
+    return unnest(per_view, ["view_id"], reached, "m").select("view_id", "m.*")

@@ -1,13 +1,13 @@
 """Nearest stores without comparing every point with every store.
 
-The globe is cut into square cells at several depths; each depth halves the side four-fold-area-wise
-twice (side = 360 degrees / 4**depth). Stores are counted per cell once, with the bounding box of
+The globe is cut into square cells at several depths; each depth quarters the side
+(360 degrees / 4**depth). Stores are counted per cell once, with the bounding box of
 each cell's stores. For a point the deepest own cell that holds at least k stores gives an upper
 bound for the distance of its k-th neighbour: no store of that cell is farther than the far edge of
 its bounding box. Only the cells that the circle of this radius touches are then joined, at the
 deepest depth whose cells are as large as the circle's half extent, so a point meets at most nine
 cells. Both joins are equi-joins on (group, depth, cell): they shuffle by cell, a crowded retailer is
-spread over its cells, and the result is exact.
+spread over its cells, places with many users are searched once, and the result is exact.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, KM_PER_DEGREE, haversine_km
+from ..functions.skew import SALTS, salt_of, salted_join
 
 DEPTHS = list(range(11))  # 360 degrees down to about 0.0003 degrees, some 40 m
+WIDE_DEPTH = 5  # cells of about 0.35 degrees and more
 # Slack against rounding in the bound; it only ever adds candidates.
 SLACK = 1.000001
 
@@ -57,10 +59,15 @@ def _bounds(points: DataFrame, cells: DataFrame, by: list[str], k: int) -> DataF
     )
     # The whole globe (depth 0) counts however few stores there are: then all of them are neighbours.
     held = held.filter((F.col("held") >= k) | (F.col("depth") == 0))
+    # Wide cells hold a country's worth of points each, so their few rows are repeated per salt.
+    wide = F.col("depth") <= WIDE_DEPTH
+    every = F.array(*[F.lit(n) for n in range(SALTS)])
+    held = held.withColumn("salt", F.explode(F.when(wide, every).otherwise(F.array(F.lit(0)))))
     probes = (
         points.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in DEPTHS])))
         .withColumn("cell_row", _row(F.col("p_lat"), F.col("depth")))
         .withColumn("cell_col", _wrap(_column(F.col("p_lng"), F.col("depth")), F.col("depth")))
+        .withColumn("salt", F.when(wide, salt_of("p_lat", "p_lng")).otherwise(0))
     )
     north_south = F.greatest(F.abs(F.col("p_lat") - F.col("lat_low")), F.abs(F.col("p_lat") - F.col("lat_high")))
     east_west = F.greatest(F.abs(F.col("p_lng") - F.col("lng_low")), F.abs(F.col("p_lng") - F.col("lng_high")))
@@ -72,8 +79,8 @@ def _bounds(points: DataFrame, cells: DataFrame, by: list[str], k: int) -> DataF
     reach = (north_south + east_west * narrowest) * KM_PER_DEGREE * SLACK + 1e-6
     reach = F.when((F.col("depth") == 0) & (F.col("held") < k), F.lit(EARTH_KM * 4)).otherwise(reach)
     return (
-        probes.join(held, [*by, "depth", "cell_row", "cell_col"])
-        .groupBy("point_id", *by, "p_lat", "p_lng")
+        probes.join(held, [*by, "depth", "cell_row", "cell_col", "salt"])
+        .groupBy(*by, "p_lat", "p_lng")
         .agg(F.min(reach).alias("reach_km"))
     )
 
@@ -116,7 +123,8 @@ def _search_cells(bounded: DataFrame) -> DataFrame:
 def near_pairs(points: DataFrame, stores: DataFrame, k: int, by: list[str]) -> DataFrame:
     """All (point, store) pairs within each point's bound: its k nearest stores are among them.
 
-    ``points``: point_id, p_lat, p_lng and the ``by`` columns; ``stores``: lat, lng and the ``by`` columns.
+    ``points``: p_lat, p_lng and the ``by`` columns, each place once, so that a place where many users
+    are costs no more than any other; ``stores``: lat, lng and the ``by`` columns.
     """
     cells = _by_cell(stores)
     targets = _search_cells(_bounds(points, cells, by, k))
@@ -133,20 +141,14 @@ def nearest_store_distance(requests: DataFrame, stores: DataFrame) -> DataFrame:
     one place are taken together first.
     """
     asked = requests.select("user_id", "lat", "lng", "retailer_slug").distinct()
-    points = asked.select(
-        F.col("user_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), "retailer_slug"
-    )
+    points = asked.select(F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), "retailer_slug").distinct()
     places = stores.select("retailer_slug", "lat", "lng").distinct()
     best = (
         near_pairs(points, places, 1, ["retailer_slug"])
-        .groupBy("point_id", "retailer_slug", "p_lat", "p_lng")
+        .groupBy("retailer_slug", F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng"))
         .agg(F.min("distance_km").alias("distance_km"))
     )
-    found = best.select(
-        F.col("point_id").alias("user_id"), "retailer_slug", F.col("p_lat").alias("lat"),
-        F.col("p_lng").alias("lng"), "distance_km",
-    )
-    return asked.join(found, ["user_id", "retailer_slug", "lat", "lng"], "left").select(
+    return salted_join(asked, best, ["retailer_slug", "lat", "lng"], ["user_id"], "left").select(
         "user_id", "retailer_slug", "distance_km"
     )
 
@@ -159,16 +161,15 @@ def nearest_stores(users: DataFrame, stores: DataFrame, k: int) -> DataFrame:
         return users.filter(F.lit(False)).select(
             "user_id", no_store.alias("store_id"), F.lit(0.0).alias("distance_km"), F.lit(0).alias("rank")
         )
-    points = users.select(
-        F.col("user_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")
-    )
+    points = users.select(F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")).distinct()
     pairs = near_pairs(points, stores.select("id", "lat", "lng"), k, [])
-    order = Window.partitionBy("point_id").orderBy("distance_km", "id")
-    return (
-        pairs.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(F.col("point_id").alias("user_id"), F.col("id").alias("store_id"), "distance_km", "rank")
+    order = Window.partitionBy("p_lat", "p_lng").orderBy("distance_km", "id")
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    listed = ranked.select(
+        F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng"), F.col("id").alias("store_id"), "distance_km", "rank"
     )
+    located = users.select("user_id", "lat", "lng")
+    return salted_join(located, listed, ["lat", "lng"], ["user_id"]).select("user_id", "store_id", "distance_km", "rank")
 
 
 def retailers_by_proximity(requests: DataFrame, retailers: DataFrame, stores: DataFrame) -> DataFrame:

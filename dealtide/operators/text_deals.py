@@ -159,11 +159,13 @@ def catalogue_gate(pages: DataFrame, by: list[str]) -> DataFrame:
     """Documents that look like a catalogue: at least two euro prices in their first twelve pages.
 
     ``pages``: the ``by`` columns, page_no (unique in a document) and text. Pages past the twelfth are
-    dropped before the shuffle, so a group never holds more than twelve rows.
+    dropped before the shuffle, and each of the twelve has one slot in the aggregate, so its state stays
+    small even if pages come in copies.
     """
-    first = pages.filter((F.col("page_no") >= 1) & (F.col("page_no") <= MAX_PAGES))
-    joined = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_pages"))
-    docs = joined.select(*by, F.array_join(F.transform("_pages", lambda p: p["text"]), "\n").alias("text"))
+    numbers = range(1, MAX_PAGES + 1)
+    slots = [F.min(F.when(F.col("page_no") == n, F.col("text"))).alias(f"_page{n}") for n in numbers]
+    joined = pages.filter(F.col("page_no").between(1, MAX_PAGES)).groupBy(*by).agg(*slots)
+    docs = joined.select(*by, F.concat_ws("\n", *[F.col(f"_page{n}") for n in numbers]).alias("text"))
     return docs.filter(F.regexp_count("text", F.lit(EURO_PRICE)) >= 2)
 
 
