@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import unnest
 from ..functions.text import present, strip
+from ..params import settled
 
 DEAL_COLUMNS = ["retailer_slug", "product", "original_price", "promo_price", "discount"]
 
@@ -38,15 +39,16 @@ def extraction_fallback(primary: DataFrame, pdf_text: DataFrame, page_text: Data
     """All primary deals; text of the pdf only for retailers without any; page text only for those still
     without, and of it only the first page that has deals.
 
-    Every stage has retailer_slug, method, page_no and the deal columns. Pass the later stages
-    unevaluated: the anti joins keep their cost to the retailers that need them.
+    Every stage has retailer_slug, method, page_no and the deal columns. Pass the stages unevaluated: each
+    is computed once, into the checkpoint folder, and the anti joins keep the cost of the later ones to
+    the retailers that need them.
     """
-    second = _without(pdf_text, primary)
-    third = _without(page_text, primary, pdf_text)
-    opening = third.groupBy("retailer_slug").agg(F.min("page_no").alias("page_no"))
-    third = third.join(opening, ["retailer_slug", "page_no"], "left_semi")
     columns = ["retailer_slug", "method", "page_no", *DEAL_COLUMNS[1:]]
-    return primary.select(*columns).unionAll(second.select(*columns)).unionAll(third.select(*columns))
+    first = settled(primary.select(*columns))
+    second = settled(_without(pdf_text, first).select(*columns))
+    third = settled(_without(page_text, first, second).select(*columns))
+    opening = third.groupBy("retailer_slug").agg(F.min("page_no").alias("page_no"))
+    return first.unionAll(second).unionAll(third.join(opening, ["retailer_slug", "page_no"], "left_semi").select(*columns))
 
 
 def extraction_methods(deals: DataFrame, rank: dict[str, int]) -> DataFrame:

@@ -64,3 +64,11 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     if folder is None:
         raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
     return folder
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """``frame`` computed once into the shared checkpoint folder, for results that several branches read.
+
+    Without a checkpoint folder the frame is returned as it is and each branch computes it.
+    """
+    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame
