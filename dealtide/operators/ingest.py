@@ -79,7 +79,8 @@ def _no(kind: str = "string") -> Column:
 
 def attribution_events(hits: DataFrame) -> DataFrame:
     """Consented landings with at least one utm parameter and a payload that fits a cookie."""
-    kept = consent_gate(hits.filter(F.col("kind") == "attribution")).withColumn("_utm", utm_from_url(F.col("url")))
+    landings = consent_gate(hits.filter(F.col("kind") == "attribution"))
+    kept = unnest(landings, ["ts", "url", "user_agent", "referrer"], F.array(utm_from_url(F.col("url"))), "_utm")
     fields = [F.col(f"_utm.{key}") for key in UTM_URL_KEYS]
     # The payload also carries the time of the landing in ISO form with milliseconds.
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
@@ -98,13 +99,15 @@ def _with_cookie_utm(hits: DataFrame) -> DataFrame:
 
 def engagement_events(hits: DataFrame, retailers: DataFrame) -> DataFrame:
     """Consented engagement hits with a known event and a catalogued retailer."""
-    body = F.try_parse_json("body")
+    body = F.col("_body")
 
     def text(key: str) -> Column:
         kind = F.schema_of_variant(F.try_variant_get(body, f"$.{key}", "variant"))
         return F.when(kind == "STRING", F.try_variant_get(body, f"$.{key}", "string"))
 
-    kept = consent_gate(hits.filter(F.col("kind") == "engagement")).select(
+    sent = consent_gate(hits.filter(F.col("kind") == "engagement"))
+    parsed = unnest(sent, ["ts", "cookie", "user_agent", "referrer"], F.array(F.try_parse_json("body")), "_body")
+    kept = parsed.select(
         "ts", "cookie", text("event").alias("event_name"), text("retailer").alias("retailer"), text("path").alias("_path"),
         "user_agent", "referrer",
     )

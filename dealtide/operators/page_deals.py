@@ -215,34 +215,38 @@ def page_text_deals(pages: DataFrame) -> DataFrame:
     kept = [c for c in pages.columns if c != "cards"]
 
     def read(text: Column, at: Column) -> Column:
-        name = _card_name(text)
-        return F.struct(
-            F.substring(erase(F.lower(name), "[^a-z0-9]"), 1, 30).alias("key"),
-            at.alias("at"),
-            name.alias("product"),
-            text.alias("text"),
-        )
+        return F.struct(at.alias("at"), _card_name(text).alias("product"), text.alias("text"))
+
+    def keyed(card: Column) -> Column:
+        key = F.substring(erase(F.lower(card["product"]), "[^a-z0-9]"), 1, 30)
+        return F.struct(key.alias("key"), card["at"].alias("at"), card["product"].alias("product"), card["text"].alias("text"))
 
     sized = F.filter(
         F.transform("cards", strip),
         lambda t: (utf16_length(t) >= 15) & (utf16_length(t) <= 300) & t.rlike(EURO_PRICE),
     )
     named = F.filter(F.transform(sized, read), lambda c: c["product"].isNotNull())
-    by_key = pages.select(*kept, F.array_sort(named).alias("_cards"))
+    by_key = pages.select(*kept, F.array_sort(F.transform(named, keyed)).alias("_cards"))
     firsts = F.filter("_cards", lambda c, i: (i == 0) | (F.get("_cards", i - 1)["key"] != c["key"]))
 
-    def deal(card: Column) -> Column:
+    def priced(card: Column) -> Column:
         prices = F.filter(numbers_in(card["text"], EURO_PRICE), lambda p: (p > 0.01) & (p < 50000))
-        low, high = F.array_min(prices), F.array_max(prices)
+        return F.struct(
+            card["at"].alias("at"), card["product"].alias("product"), F.array_min(prices).alias("low"),
+            F.array_max(prices).alias("high"), card["text"].alias("text"),
+        )
+
+    def deal(card: Column) -> Column:
         return F.struct(
             card["at"].alias("at"),
             card["product"].alias("product"),
-            F.when(high > low, high).alias("original_price"),
-            low.alias("promo_price"),
+            F.when(card["high"] > card["low"], card["high"]).alias("original_price"),
+            card["low"].alias("promo_price"),
             strip(first_match(card["text"], CARD_DISCOUNT)).alias("discount"),
         )
 
-    deals = F.array_sort(F.filter(F.transform(firsts, deal), lambda d: d["promo_price"].isNotNull()))
+    usable = F.filter(F.transform(firsts, priced), lambda c: c["low"].isNotNull())
+    deals = F.array_sort(F.transform(usable, deal))
     rows = unnest(by_key, kept, deals, "_deal")
     return rows.select(
         *kept, F.concat(F.lit("pagetext-"), F.col("_n").cast("string")).alias("id"),
