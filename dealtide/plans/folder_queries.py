@@ -230,10 +230,11 @@ def run_status(t):
     return results_of(t)
 
 
+# A retailer without a document has one issue: its file is missing.
 ENTRIES_SQL = f"""{STATUS_SQL}, {PROBES_SQL}, {TARGETS_SQL}, {ISSUES_SQL},
   entries AS (SELECT r.*, d.doc ->> '$.scrapedAt' AS scraped_at, coalesce(f.n, 0) AS folder_count,
       CAST(CASE WHEN json_type(d.doc, '$.deals') = 'ARRAY' THEN json_array_length(d.doc, '$.deals') ELSE 0 END AS BIGINT) AS deal_count,
-      coalesce(f.embed, false) AS has_embed, coalesce(f.pdf, false) AS has_pdf, coalesce(f.pages, false) AS has_pages, coalesce(i.n, 0) AS issues, coalesce(i.errors, 0) AS errors,
+      coalesce(f.embed, false) AS has_embed, coalesce(f.pdf, false) AS has_pdf, coalesce(f.pages, false) AS has_pages, CASE WHEN d.raw IS NULL THEN 1 ELSE coalesce(i.n, 0) END AS issues, CASE WHEN d.raw IS NULL THEN 1 ELSE coalesce(i.errors, 0) END AS errors,
       CASE WHEN r.status <> 'missing' THEN coalesce(p.n, 0) ELSE 0 END AS probes, CASE WHEN r.status <> 'missing' THEN coalesce(p.dead, 0) ELSE 0 END AS dead
     FROM results r LEFT JOIN docs d USING (slug)
       LEFT JOIN (SELECT slug, count(*) AS n, bool_or(coalesce(embed_url, '') <> '') AS embed, bool_or(coalesce(pdf_url, '') <> '') AS pdf, bool_or(pages > 0) AS pages FROM folders GROUP BY slug) f USING (slug)
