@@ -1,4 +1,4 @@
 """Importing this module registers every query of the package."""
 
-from . import bpe, curriculum, langid, quality  # noqa: F401
+from . import bpe, curriculum, langid, quality, secrets, sharding  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
