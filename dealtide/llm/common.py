@@ -28,6 +28,7 @@ def settled(frame: DataFrame) -> DataFrame:
     path = f"{shared(frame.sparkSession)}/llm/{uuid.uuid4().hex}"
     schema = frame.schema
     frame.write.parquet(path)
+    frame.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is no longer read
     return frame.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -135,6 +136,41 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return labels.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def star_links(entries: DataFrame, verified: Callable[[DataFrame], DataFrame], possible: Column | None = None) -> DataFrame:
+    """Verified pairs (a, b) that connect all similar nodes among those that share an index entry (sig, sid, n).
+
+    Nodes already connected are not compared. In each entry all nodes are first compared with its least one, then those of
+    another component with up to eight of the entry's least component. What is in another component after that is
+    compared with every node of the entry. So a large group of near copies costs its size, and no link is lost.
+    ``verified`` keeps the similar pairs; ``possible`` is a cheap condition on the sizes ``n`` and ``m`` of two nodes.
+    """
+    possible = F.lit(True) if possible is None else possible
+    edges = None
+    for leaders in (1, 8, 0):
+        if edges is None:
+            rows = entries.withColumn("label", F.col("sid"))
+        else:
+            rows = entries.join(settled(components(edges)).withColumnRenamed("node", "sid"), "sid", "left")
+            rows = rows.select("sig", "sid", "n", F.coalesce("component", "sid").alias("label"))
+        main = rows.groupBy("sig").agg(F.min("label").alias("main"), F.max("label").alias("most")).filter("main <> most").select("sig", "main")
+        rows = rows.join(main, "sig")
+        if edges is not None:
+            rows = settled(rows)
+            if rows.isEmpty():
+                break
+        others = rows.filter("label <> main").select("sig", "sid", "n", "label")
+        if leaders:
+            slot = F.pmod(F.xxhash64("sid", F.lit(leaders)), F.lit(leaders))
+            heads = rows.filter("label = main").groupBy("sig", slot.alias("slot")).agg(F.min(F.struct("sid", "n")).alias("h"))
+            heads = heads.select("sig", F.col("h.sid").alias("other"), F.col("h.n").alias("m"), F.lit(None).cast("long").alias("other_label"))
+        else:
+            heads = rows.select("sig", F.col("sid").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
+        pairs = others.join(heads, "sig").filter(possible & ~F.col("label").eqNullSafe(F.col("other_label")) & (F.col("sid") != F.col("other")))
+        new = verified(pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct())
+        edges = settled(new if edges is None else edges.union(new))
+    return edges
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 

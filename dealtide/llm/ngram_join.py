@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, documents, partitions, settled
+from .common import components, documents, partitions, settled, star_links
 from .hashing import by_part, lists, mixed, planes, runs, text_groups, unplanes, windows, words
 from .registry import query
 
@@ -225,40 +225,12 @@ def near(percent: int):
 
 
 def links(found: DataFrame, percent: int) -> DataFrame:
-    """Verified pairs of sets (sid, n, tokens) that connect all similar ones; ones already connected are not compared.
-
-    A set with too few shared tokens is out. In each index entry all sets are first compared with its least one, then
-    those of another component with up to eight of the least component. What is in another component after that is
-    compared with every member of the entry. So a large group of near copies costs its size, and no link is lost.
-    """
-    n = F.col("n")
-    alive = settled(found.filter((F.size("tokens") > 0) & (100 * F.size("tokens") >= percent * n)))
+    """Verified pairs of sets (sid, n, tokens) that connect all similar ones. A set with too few shared tokens is out."""
+    alive = settled(found.filter((F.size("tokens") > 0) & (100 * F.size("tokens") >= percent * F.col("n"))))
     entries = index(alive, percent)
     shared = entries.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 1").select("sig")
     entries = settled(entries.join(shared, "sig"))
-    edges = None
-    for leaders in (1, 8, 0):
-        if edges is None:
-            rows = entries.withColumn("label", F.col("sid"))
-        else:
-            rows = entries.join(settled(components(edges)).withColumnRenamed("node", "sid"), "sid", "left")
-            rows = rows.select("sig", "sid", "n", F.coalesce("component", "sid").alias("label"))
-        main = rows.groupBy("sig").agg(F.min("label").alias("main"), F.max("label").alias("most")).filter("main <> most").select("sig", "main")
-        rows = rows.join(main, "sig")
-        if edges is not None:
-            rows = settled(rows)
-        others = rows.filter("label <> main").select("sig", "sid", "n", "label")
-        if leaders:
-            slot = F.pmod(F.xxhash64("sid", F.lit(leaders)), F.lit(leaders))
-            heads = rows.filter("label = main").groupBy("sig", slot.alias("slot")).agg(F.min(F.struct("sid", "n")).alias("h"))
-            heads = heads.select("sig", F.col("h.sid").alias("other"), F.col("h.n").alias("m"), F.lit(None).cast("long").alias("other_label"))
-        else:
-            heads = rows.select("sig", F.col("sid").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-        pairs = others.join(heads, "sig").filter(near(percent) & ~F.col("label").eqNullSafe(F.col("other_label")) & (F.col("sid") != F.col("other")))
-        pairs = pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
-        new = verified(pairs, alive, percent)
-        edges = settled(new if edges is None else edges.union(new))
-    return edges
+    return star_links(entries, lambda pairs: verified(pairs, alive, percent), near(percent))
 
 
 def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
