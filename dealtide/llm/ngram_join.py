@@ -27,7 +27,8 @@ WIDTH, PERCENT = 4, 85
 FREQUENT, LOCAL = 16, 8
 #: Classes of frequent tokens. Sets under SMALL tokens may have too few to make a pair in any, so they are indexed singly.
 CLASSES = 16
-_TOKEN = np.uint64(2**64 - 2)
+# A token is 56 bits of its hash; the bit below tells frequent ones.
+_TOKEN, _FREQUENT, _CUT = np.uint64(2**64 - 2**8), np.uint64(1), np.uint64(8)
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,14 +53,19 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     return owner[keep], found[keep]
 
 
+def keys_of(group: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Row keys from the hash of a batch of rows and the places in it: they need not be sent along."""
+    return mixed(group + places.astype(np.uint64)).view(np.int64)
+
+
 def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, doc_id, n, d1, d2, carrier, tokens) for every row of ``docs`` (doc_id, text).
 
     n is the number of distinct tokens, d1 and d2 their 128-bit digest. Of equal sets in a batch one row is the carrier; its
-    ``tokens`` are those that other carriers share, with the lowest bit set if frequent. Rows are told apart by ``key``.
+    ``tokens`` are those that other carriers share, with the lowest bit set if frequent. Rows are told apart by ``key``, which follows from the rows hashed together.
     """
     spark = docs.sparkSession
-    parts = 4 * partitions(spark)
+    parts = partitions(spark)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     schema = "part int, key long, doc_id long, n long, d1 long, d2 long, carrier boolean, body binary"
 
@@ -74,7 +80,9 @@ def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in batches:
             for start, end, data, offsets in text_groups(batch.column(1)):
                 size = end - start
-                keys = batch.column(2).slice(start, size).to_numpy(zero_copy_only=False)
+                seen = batch.column(2).slice(start, size).to_numpy().view(np.uint64)
+                group = mixed(np.sum(mixed(seen + np.arange(size, dtype=np.uint64)), keepdims=True))
+                keys = keys_of(group, np.arange(size))
                 owner, token = tokens_of(data, offsets, width)
                 n = np.bincount(owner, minlength=size)
                 digests = []
@@ -93,7 +101,7 @@ def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 run, first, length = runs(token[order])
                 hot = length > LOCAL
                 is_hot = hot[run]
-                hot_owner, hot_token = owner[order][is_hot], token[order][is_hot] | np.uint64(1)
+                hot_owner, hot_token = owner[order][is_hot], token[order][is_hot] | _FREQUENT
                 back = np.argsort(hot_owner, kind="stable")
                 hot_owner, hot_token = hot_owner[back], hot_token[back]
                 edges = np.searchsorted(hot_owner, np.arange(size + 1))
@@ -104,14 +112,12 @@ def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 keep = ~is_hot
                 keep[first[hot]] = True
                 sent, flag = token[order][keep], is_hot[keep]
-                who = np.where(flag, -1, owner[order][keep])
+                who = np.where(flag, 0, owner[order][keep] + 1).astype(np.uint32)
                 part = ((sent >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 rows = []
                 for p, at in by_part(part, parts):
-                    used, local = np.unique(who[at], return_inverse=True)
-                    ids = np.where(used < 0, 0, keys[np.maximum(used, 0)])
-                    head = np.array([len(at), len(used), int(used[0] < 0)], np.int64).tobytes()
-                    rows.append((p, head + planes(sent[at]) + planes(local.astype(np.uint32)) + planes(ids)))
+                    head = np.array([len(at)], np.uint64).tobytes() + group.tobytes()
+                    rows.append((p, head + planes(sent[at] >> _CUT) + planes(who[at])))
                 nothing = [None] * len(rows)
                 yield emit([r[0] for r in rows], nothing, nothing, nothing, nothing, nothing, nothing, [r[1] for r in rows])
 
@@ -124,11 +130,12 @@ def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         kept = pa.table([*[own[c] for c in ("key", "doc_id", "n", "d1", "d2", "carrier")], lists(np.concatenate(bodies) if bodies else [], [len(b) for b in bodies], pa.int64())], schema=result)
         tokens, flags, keys = [], [], []
         for body in table.filter(table["key"].is_null())["body"].to_pylist():
-            count, used, flagged = np.frombuffer(body, np.int64, 3)
-            tokens.append(unplanes(body[24 : 24 + 8 * count], "u8"))
-            local = unplanes(body[24 + 8 * count : 24 + 12 * count], "u4")
-            keys.append(unplanes(body[24 + 12 * count :], "i8")[local])
-            flags.append((local == 0) & bool(flagged))
+            head = np.frombuffer(body, np.uint64, 2)
+            count = int(head[0])
+            tokens.append(unplanes(body[16 : 16 + 8 * count], "u8") << _CUT)
+            who = unplanes(body[16 + 8 * count :], "u4")
+            keys.append(keys_of(head[1:], who.astype(np.int64) - 1))
+            flags.append(who == 0)
         if not tokens:
             return kept
         token, key, flag = np.concatenate(tokens), np.concatenate(keys), np.concatenate(flags)
@@ -161,7 +168,7 @@ def least_shared(n, percent: int):
 def signatures(tokens: np.ndarray, n: int, percent: int) -> np.ndarray:
     """The index entries of one set of n tokens, of which ``tokens`` are shared with others."""
     spare = n - least_shared(n, percent) - (n - len(tokens))  # tokens that may still be missing
-    frequent = (tokens & np.uint64(1)).astype(bool)
+    frequent = (tokens & _FREQUENT).astype(bool)
     name = mixed(tokens)
     order = np.lexsort((name, frequent))
     name, frequent = name[order], frequent[order]
@@ -251,6 +258,12 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     return placed.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the least of its component or null."""
+    spare = joined(docs, width, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_spare")).distinct()
+    return docs.join(spare, docs["doc_id"] == spare["_spare"], "left_anti")
+
+
 @query("op3_ngram_jaccard_join")
 def op3(spark, sf_dir):
     return joined(documents(spark, sf_dir))
