@@ -22,6 +22,8 @@ from .registry import query
 WINDOW = 50
 #: A window hash found oftener in one batch of texts counts as a hit there and is sent once.
 LOCAL = 4
+#: Low bits of an anchor's hash that are not sent. Texts that agree in the rest only are told apart when windows are compared.
+ANCHOR_CUT = 24
 _SHARED_SCHEMA = "part int, key long, places array<int>, body binary"
 
 
@@ -39,19 +41,20 @@ def found_rows(key: np.ndarray, place: np.ndarray, parts: int) -> pa.RecordBatch
     return rows(np.abs(ids % parts), ids, lists(place[order].astype(np.int32), length, pa.int32()), pa.nulls(len(ids), pa.binary()))
 
 
-def packets(hashes: np.ndarray, flags: np.ndarray, who: np.ndarray, place: np.ndarray, keys: np.ndarray, ids: np.ndarray, parts: int) -> pa.RecordBatch:
-    """The entries by part of the hash range: low half of the hash, flag, document (key and id) and place."""
+def packets(hashes: np.ndarray, flags: np.ndarray, who: np.ndarray, place: np.ndarray, keys: np.ndarray, ids: np.ndarray | None, parts: int, cut: int = 0) -> pa.RecordBatch:
+    """The entries by part of the hash range: hash less its low ``cut`` bits, flag, document (key and id) and place."""
     part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     made = []
     for p, at in by_part(part, parts):
         used, local = np.unique(who[at], return_inverse=True)
         head = np.array([len(at), len(used)], np.int64).tobytes()
-        made.append((p, head + planes(hashes[at]) + planes(local.astype(np.uint32)) + planes(place[at].astype(np.uint32)) + flags[at].astype(np.uint8).tobytes() + planes(keys[used]) + planes(ids[used])))
+        body = head + planes(hashes[at] >> np.uint64(cut)) + planes(local.astype(np.uint32)) + planes(place[at].astype(np.uint32))
+        made.append((p, body + flags[at].astype(np.uint8).tobytes() + planes(keys[used]) + (b"" if ids is None else planes(ids[used]))))
     return rows([m[0] for m in made], pa.nulls(len(made), pa.int64()), pa.nulls(len(made), pa.list_(pa.int32())), [m[1] for m in made])
 
 
 def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """(hash, flag, key, id, place) of all packets of one part, sorted by hash."""
+    """(hash, flag, key, id, place) of all packets of one part, sorted by hash; the key stands for a missing id."""
     parts = []
     for body in table["body"].to_pylist():
         if body is None:
@@ -60,7 +63,7 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
         at = 16
         take = []
         for size, dtype in ((8 * count, "u8"), (4 * count, "u4"), (4 * count, "u4"), (count, "u1"), (8 * used, "i8"), (8 * used, "i8")):
-            take.append(unplanes(body[at : at + size], dtype))
+            take.append(unplanes(body[at : at + size], dtype) if at < len(body) else take[-1])
             at += size
         parts.append((take[0], take[3], take[4][take[1]], take[5][take[1]], take[2]))
     if not parts:
@@ -91,7 +94,7 @@ def anchor_hits(source: DataFrame, half: int, parts: int) -> DataFrame:
         for batch in batches:
             for start, end, data, offsets in text_groups(batch.column(1)):
                 size = end - start
-                keys, ids = (batch.column(c).slice(start, size).to_numpy() for c in (2, 0))
+                keys = batch.column(2).slice(start, size).to_numpy()
                 texts, hashes = words(data, offsets, fold=False)
                 at, rolled = windows(texts, hashes, half)
                 if not len(at):
@@ -110,7 +113,7 @@ def anchor_hits(source: DataFrame, half: int, parts: int) -> DataFrame:
                 keep[first[hit]] = True
                 # flag 1: a block; flag 2: known to be met, needs no answer
                 flags = np.where(hit[run], has_block[run] + 2, block)
-                yield packets(rolled[keep], flags[keep], who[keep], place[keep], keys, ids, parts)
+                yield packets(rolled[keep], flags[keep], who[keep], place[keep], keys, None, parts, ANCHOR_CUT)
 
     def settle(table: pa.Table) -> pa.Table:
         rolled, flags, key, _, place = unpacked(table)
@@ -179,7 +182,7 @@ def deduplicated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     Null texts have no words. Rows of one doc_id are the same document and take nothing from each other; rows without a
     doc_id lose nothing and take nothing.
     """
-    parts = 4 * partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     named = source.filter(F.col("doc_id").isNotNull())
     hits = anchor_hits(named, width // 2, parts)
