@@ -27,8 +27,8 @@ def settled(frame: DataFrame) -> DataFrame:
     """
     path = f"{shared(frame.sparkSession)}/llm/{uuid.uuid4().hex}"
     schema = frame.schema
+    frame.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of earlier steps
     frame.write.parquet(path)
-    frame.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is no longer read
     return frame.sparkSession.read.schema(schema).parquet(path)
 
 
