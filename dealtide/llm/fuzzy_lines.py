@@ -42,7 +42,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def banded(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """(sig, sid) of the lines (sid, line), a row per band."""
     count = F.greatest(F.length("line") - size + 1, F.lit(1))
-    cut = lines.select("sid", points(F.col("line")).alias("body"), F.explode(F.sequence(F.lit(0), count - 1)).alias("at"))
+    bodies = once(lines.select("sid", "line"), body=points(F.col("line")), count=count)  # else computed for every shingle
+    cut = bodies.select("sid", "body", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
     hashed = cut.select("sid", F.xxhash64(F.substring(F.col("body"), F.col("at") * 4 + 1, F.lit(4 * size))).alias("h"))
     least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{n}") for n, m in enumerate(masks(bands * rows))]
     signed = hashed.groupBy("sid").agg(*least)
