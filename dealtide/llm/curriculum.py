@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, once, partitions, ranked, word_count
+from .common import documents, once, partitions, ranked, settled, word_count
 from .registry import query
 
 #: A source is repeated at most so often.
@@ -57,16 +57,17 @@ def due(demand: Column, target: Column, early: Column, late: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = REPEATS, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, position) for every row of ``docs`` (doc_id, text, source).
+    """(doc_id, source, size, source_size, target, taken, position, passes, row_key) for every row of ``docs`` (doc_id, text, source).
 
     A source's documents stand in an order shuffled by a hash of their ids, the stream is read up to ``repeats`` times, and
     it ends at the target: ``taken`` is what of a document lies before that end over all passes, so at most one document of
-    a source is cut. ``position`` is when its first pass is due, null if nothing is taken. Null texts have size 0. A
+    a source is cut. ``position`` is when its first pass is due, null if nothing is taken;
+    ``passes`` lists when each pass is due. ``row_key`` is a hash of doc_id, text and source. Null texts have size 0. A
     null source is a source. Repeated rows each count. Equal inputs give equal results. Prefix sums run over (source, hash
     bucket), so a source with a third of all rows is spread over all tasks.
     """
-    rows = docs.select("doc_id", F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
-    rows = once(rows, size=F.col("size"), _key=F.xxhash64("doc_id", F.lit(seed)))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", "source").alias("row_key"))
+    rows = once(rows, size=F.col("size"), row_key=F.col("row_key"), _key=F.xxhash64("doc_id", F.lit(seed)))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
     buckets = 4 * partitions(docs.sparkSession)
     bucket = F.shiftright((F.shiftright("_key", 32) + F.lit(2**31)) * F.lit(buckets), 32).cast("int")  # the high bits, evenly cut
@@ -80,7 +81,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = RE
     )
     joined = joined.withColumn("taken", taken)
     position = F.when(F.col("taken") > 0, due(F.col("_before").cast("double"), F.col("target"), F.col("early"), F.col("late")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", "taken", position.alias("position"))
+    again = [due(F.col("source_size") * n + F.col("_before"), F.col("target"), F.col("early"), F.col("late")) for n in range(repeats)]
+    passes = F.filter(F.array(*[F.when(end > F.col("source_size") * n + F.col("_before"), at) for n, at in enumerate(again)]), lambda at: at.isNotNull())
+    passes = F.when(F.col("taken") > 0, passes).otherwise(F.array().cast("array<double>"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "taken", position.alias("position"), passes.alias("passes"), "row_key")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
@@ -89,6 +93,22 @@ def in_order(mixed: DataFrame) -> DataFrame:
     return mixed.repartitionByRange(partitions(mixed.sparkSession), *order).sortWithinPartitions(*order)
 
 
+def taken_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = REPEATS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, once for each pass that takes any of their words, range-sorted by training position.
+
+    A document the end of its source's stream cuts is kept whole. Equal rows stand together.
+    """
+    mixed = settled(mix(docs, weights, repeats).select("row_key", "passes"))
+    # of equal rows each has passes of its own; together they are what one row of the key stands for
+    mixed = mixed.groupBy("row_key").agg(F.flatten(F.collect_list("passes")).alias("passes"))
+    passes = mixed.select(F.col("row_key").alias("_key"), F.explode("passes").alias("_at"))
+    rows = docs.withColumn("_own", F.xxhash64("doc_id", "text", "source"))
+    own = [F.col(c) for c in docs.columns]
+    rows = rows.dropDuplicates(["_own"]).join(passes, F.col("_own") == F.col("_key")).select(*own, "_at")
+    order = ["_at", "doc_id"]
+    return rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(*docs.columns)
+
+
 @query("op7_curriculum_mix")
 def op7(spark, sf_dir):
     mixed = in_order(mix(documents(spark, sf_dir, "doc_id", "text", "source")))

@@ -145,6 +145,19 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], size: int =
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, profiles: list[tuple[str, list[int]]], size: int = PROFILE, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language and is at least ``least`` like it. No shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(profiles, size)
+        for batch in batches:
+            found = [judge(text) for text in (t.as_py() for t in batch.column(at))]
+            yield batch.filter(pa.array([lang != NONE and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """A fifth of the documents, never learned from; so are those without an id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
