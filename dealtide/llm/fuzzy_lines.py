@@ -73,8 +73,8 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, b
     apart by 64-bit hashes. Blank lines stay and are not counted. A document may lose all its lines; its row stays, with
     an empty text. Null texts stay null. Equal rows lose the same lines. Other columns are returned as they are.
     """
-    docs = once(docs, rk=F.xxhash64("doc_id", "text"))
-    lines = lines_of(docs)
+    docs = once(docs, _row=F.xxhash64("doc_id", "text"))
+    lines = lines_of(docs.select(F.col("_row").alias("rk"), "doc_id", "text"))
     placed = settled(lines.select("rk", "doc_id", "line_no", F.xxhash64("line").alias("sid")))
     numbered = lines.select(F.xxhash64("line").alias("sid"), "line")
     entries = banded(numbered, size, bands, rows)
@@ -88,13 +88,13 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, b
     first = known.groupBy("component").agg(F.min(F.struct("doc_id", "line_no", "rk")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first")
     drops = known.join(first, "component").filter(~F.struct("doc_id", "line_no", "rk").eqNullSafe(F.col("first")))
     drops = drops.groupBy("rk").agg(F.collect_set("line_no").alias("_drops")).withColumnRenamed("rk", "_rk")
-    rows_ = docs.join(drops, docs["rk"] == drops["_rk"], "left").drop("_rk")
+    rows_ = docs.join(drops, docs["_row"] == drops["_rk"], "left").drop("_rk")
     rows_ = once(rows_, _lines=F.split("text", "\n"))
     rows_ = once(rows_, _kept=F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_drops", F.array().cast("array<int>"))))
     text = F.array_join(F.transform("_kept", lambda n: F.get(F.col("_lines"), n)), "\n")
     visible = F.size(F.filter("_lines", lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""))
     own = {"text": F.when(F.col("_drops").isNull(), F.col("text")).otherwise(text), "_n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(visible), "_n_dropped": F.coalesce(F.size("_drops"), F.lit(0))}
-    names = [c for c in docs.columns if c != "rk"]
+    names = [c for c in docs.columns if c != "_row"]
     return rows_.select(*[own.get(c, F.col(c)).alias(c) for c in names], *[own[c].cast("long").alias(c) for c in ("_n_lines", "_n_dropped")])
 
 
