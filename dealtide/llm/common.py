@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -27,6 +28,7 @@ def settled(frame: DataFrame) -> DataFrame:
     """
     path = f"{shared(frame.sparkSession)}/llm/{uuid.uuid4().hex}"
     schema = frame.schema
+    gc.collect()  # first the frames that Python still holds, then
     frame.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of earlier steps
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(schema).parquet(path)
