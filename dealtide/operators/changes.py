@@ -62,7 +62,8 @@ def upsert_fingerprints(state: DataFrame | None, scraped: DataFrame) -> DataFram
     rows = scraped.select(*columns)
     if state is not None:
         rows = state.select(*columns).unionAll(rows)
-    order = F.struct("updated_at", F.coalesce("fingerprint", F.lit("")))
+    # all columns take part, so rows that tie in time and fingerprint still give one result
+    order = F.struct("updated_at", *[F.coalesce(c, F.lit("")) for c in ("fingerprint", "pdf_url", "embed_url", "source")])
     latest = rows.groupBy("slug").agg(F.max_by(F.struct(*columns[1:]), order).alias("s"))
     return latest.select("slug", "s.*")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import present
-from ..params import clamp_days, clamp_int, since
+from ..params import clamp_days, clamp_int, day_since, since
 
 # The events the site sends.
 ENGAGEMENT_EVENTS = [
@@ -28,7 +28,11 @@ EXPORT_COLUMNS = [
 
 
 def _window(events: DataFrame, as_of: datetime | str, days, default: int) -> DataFrame:
-    return events.filter(since(events, "created_at", as_of, clamp_days(days, default)))
+    """The events of the last ``days``; stored events are read from the day partitions that can hold them only."""
+    days = clamp_days(days, default)
+    if "event_date" in events.columns:
+        events = events.filter(day_since(events, "event_date", as_of, days))
+    return events.filter(since(events, "created_at", as_of, days))
 
 
 def _count_if(condition: Column) -> Column:
@@ -46,7 +50,7 @@ def utm_only_metrics(events, event_name: str, as_of, limit=500, days=365) -> Dat
         kept.groupBy("utm_content")
         .agg(_n().alias("count"), F.min("created_at").alias("first_seen_at"), F.max("created_at").alias("last_seen_at"))
         .orderBy(F.desc("count"), "utm_content")
-        .limit(clamp_int(limit, 500, 1, 5000))
+        .limit(clamp_int(limit, 500, 1))
     )
 
 
@@ -68,7 +72,7 @@ def clicks_by_retailer_for_utm(events, utm_content: str, as_of, days=30, limit=2
         kept.groupBy("retailer")
         .agg(_n().alias("count"), F.max("created_at").alias("last_seen_at"))
         .orderBy(F.desc("count"), "retailer")
-        .limit(clamp_int(limit, 200, 1, 2000))
+        .limit(clamp_int(limit, 200, 1))
     )
 
 
@@ -77,7 +81,7 @@ def recent_events_for_utm(events, utm_content: str, as_of, days=30, limit=200) -
     return (
         kept.select("id", *EXPORT_COLUMNS)
         .orderBy(F.desc("created_at"), F.desc("id"))
-        .limit(clamp_int(limit, 200, 1, 2000))
+        .limit(clamp_int(limit, 200, 1))
     )
 
 
@@ -87,7 +91,7 @@ def utm_content_metrics(events, event_name: str, as_of, limit=200, days=30) -> D
         kept.groupBy("utm_content", "retailer")
         .agg(_n().alias("count"), F.min("created_at").alias("first_seen_at"), F.max("created_at").alias("last_seen_at"))
         .orderBy(F.desc("count"), "utm_content", "retailer")
-        .limit(clamp_int(limit, 200, 1, 2000))
+        .limit(clamp_int(limit, 200, 1))
     )
 
 
@@ -97,7 +101,7 @@ def retailer_metrics(events, event_name: str, as_of, limit=200, days=30) -> Data
         kept.groupBy("retailer")
         .agg(_n().alias("count"), F.max("created_at").alias("last_seen_at"))
         .orderBy(F.desc("count"), "retailer")
-        .limit(clamp_int(limit, 200, 1, 2000))
+        .limit(clamp_int(limit, 200, 1))
     )
 
 
@@ -131,7 +135,7 @@ def events_for_export(
     return (
         kept.select("id", *EXPORT_COLUMNS)
         .orderBy(F.desc("created_at"), F.desc("id"))
-        .limit(clamp_int(limit, 5000, 1, 50000))
+        .limit(clamp_int(limit, 5000, 1))
     )
 
 
@@ -139,7 +143,7 @@ def recent_events(events, limit=100) -> DataFrame:
     return (
         events.select("id", *EXPORT_COLUMNS)
         .orderBy(F.desc("created_at"), F.desc("id"))
-        .limit(clamp_int(limit, 100, 1, 500))
+        .limit(clamp_int(limit, 100, 1))
     )
 
 

@@ -77,15 +77,20 @@ def _no(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
-def attribution_events(hits: DataFrame) -> DataFrame:
-    """Consented landings with at least one utm parameter and a payload that fits a cookie."""
+def attribution_events(hits: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Consented landings with at least one utm parameter.
+
+    With ``max_chars`` only those whose encoded payload is no longer: ``MAX_ATTRIBUTION_CHARS`` is what fits a cookie.
+    """
     landings = consent_gate(hits.filter(F.col("kind") == "attribution"))
     kept = unnest(landings, ["ts", "url", "user_agent", "referrer"], F.array(utm_from_url(F.col("url"))), "_utm")
     fields = [F.col(f"_utm.{key}") for key in UTM_URL_KEYS]
     # The payload also carries the time of the landing in ISO form with milliseconds.
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
     payload = F.to_json(F.struct("_utm.*", stamp.alias("first_seen_ts")))
-    kept = kept.filter(F.coalesce(*fields).isNotNull() & (_js_encoded_length(payload) <= MAX_ATTRIBUTION_CHARS))
+    kept = kept.filter(F.coalesce(*fields).isNotNull())
+    if max_chars is not None:
+        kept = kept.filter(_js_encoded_length(payload) <= max_chars)
     return kept.select(
         F.col("ts").alias("created_at"), F.lit(ATTRIBUTION).alias("event_name"), url_path(F.col("url")).alias("path"),
         _no().alias("retailer"), _no().alias("destination_url"), *[f"_utm.{key}" for key in UTM_KEYS],

@@ -116,8 +116,7 @@ def card_deals(pages: DataFrame, selectors: dict[str, dict[str, str]]) -> DataFr
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for row in frame.itertuples(index=False):
-                values = row._asdict()
+            for values in frame.to_dict("records"):
                 rules = selectors[values["retailer_slug"]]
                 for n, card in enumerate(select(parse_html(values["html"] or ""), rules["card"])):
                     found = {}

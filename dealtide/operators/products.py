@@ -120,18 +120,18 @@ def products_by_retailer(products: DataFrame, slug: str, week=None, year=None, l
     if week and year:
         found = found.filter((F.col("week_number") == week) & (F.col("year") == year))
         order = ["product_name", "id"]
-    return found.orderBy(*order).limit(clamp_int(limit, 500, 1, 5000))
+    return found.orderBy(*order).limit(clamp_int(limit, 500, 1))
 
 
 def products_by_week(products: DataFrame, week: int, year: int, vertical=None, limit=1000) -> DataFrame:
     found = products.filter((F.col("week_number") == week) & (F.col("year") == year))
     if vertical:
         found = found.filter(F.col("vertical") == vertical)
-    return found.orderBy("retailer_slug", "product_name", "id").limit(clamp_int(limit, 1000, 1, 10000))
+    return found.orderBy("retailer_slug", "product_name", "id").limit(clamp_int(limit, 1000, 1))
 
 
 def _scraped_since(products: DataFrame, as_of, days) -> Column:
-    moment = instant(as_of) - timedelta(days=clamp_int(days, 30, 1, 365))
+    moment = instant(as_of) - timedelta(days=clamp_int(days, 30, 1))
     return F.col("scraped_at") >= time_literal(products, "scraped_at", moment)
 
 
@@ -140,7 +140,7 @@ def products_by_category(products: DataFrame, category: str, as_of, days=30, lim
     same = ascii_fold(F.col("category")) == ascii_fold(F.lit(category))
     found = products.filter(same & _scraped_since(products, as_of, days))
     return found.orderBy(F.col("promo_price").asc_nulls_first(), "product_name", "id").limit(
-        clamp_int(limit, 500, 1, 5000)
+        clamp_int(limit, 500, 1)
     )
 
 
@@ -168,5 +168,5 @@ def search_products(products: DataFrame, text: str, as_of, vertical=None, limit=
     if vertical:
         found = found.filter(F.col("vertical") == vertical)
     return found.orderBy(F.col("promo_price").asc_nulls_first(), "product_name", "id").limit(
-        clamp_int(limit, 100, 1, 1000)
+        clamp_int(limit, 100, 1)
     )

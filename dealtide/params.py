@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def clamp_int(value, default: int, low: int, high: int) -> int:
-    """Floor ``value`` into [low, high]; anything that is not a finite number becomes ``default``."""
+def clamp_int(value, default: int, low: int, high: int | None = None) -> int:
+    """Floor ``value`` into [low, high], or to ``low`` at least without ``high``; anything that is not a finite number becomes ``default``."""
     try:
         number = float(value)
     except (TypeError, ValueError):
         return default
     if not math.isfinite(number):
         return default
-    return min(max(math.floor(number), low), high)
+    number = max(math.floor(number), low)
+    return number if high is None else min(number, high)
 
 
 def clamp_days(value, default: int) -> int:
-    return clamp_int(value, default, 1, 365)
+    """A whole number of days, one at least. There is no upper bound: a caller who wants one passes it in ``value``."""
+    return clamp_int(value, default, 1)
 
 
 def instant(as_of: datetime | str) -> datetime:
@@ -49,6 +51,12 @@ def since(like: DataFrame, column: str, as_of: datetime | str, days: int) -> Col
     return F.col(column) >= time_literal(like, column, instant(as_of) - timedelta(days=days))
 
 
+def day_since(like: DataFrame, column: str, as_of: datetime | str, days: int) -> Column:
+    """The days that can hold moments of ``since``, as a predicate on a day partition column of dates or ISO strings."""
+    day = (instant(as_of) - timedelta(days=days)).date()
+    return F.col(column) >= (F.lit(day.isoformat()) if isinstance(like.schema[column].dataType, T.StringType) else F.lit(day))
+
+
 def clock(as_of: datetime | str) -> Column:
     """``as_of`` as a zone-free timestamp: every rule of this library is evaluated in UTC."""
     return F.lit(instant(as_of).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")

@@ -77,7 +77,7 @@ def recent_events_for_utm(t):
     f"""SELECT utm_content, retailer, count(*) AS count, min(created_at) AS first_seen_at, max(created_at) AS last_seen_at
         FROM sp_events WHERE event_name = 'outbound_click' AND {_since(30)}
         GROUP BY utm_content, retailer
-        ORDER BY count DESC, utm_content NULLS FIRST, retailer NULLS FIRST LIMIT 2000""",
+        ORDER BY count DESC, utm_content NULLS FIRST, retailer NULLS FIRST LIMIT 9999""",
 )
 def utm_content_metrics(t):
     return ev.utm_content_metrics(t.sp_events, "outbound_click", AS_OF, limit=9999)

@@ -439,9 +439,9 @@ def state_of(t):
     return ch.upsert_fingerprints(None, good)
 
 
-@query("upsert_fingerprints", f"WITH {GOOD_SQL} SELECT slug, fingerprint, source, embed_url, updated_at FROM state")
+@query("upsert_fingerprints", f"WITH {GOOD_SQL} SELECT slug, fingerprint, source, embed_url, pdf_url, updated_at FROM state")
 def upsert_fingerprints(t):
-    return state_of(t).drop("pdf_url")
+    return state_of(t)
 
 
 @query(

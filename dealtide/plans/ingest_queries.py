@@ -50,8 +50,7 @@ ATTRIBUTION_SQL = f"""{HITS_SQL},
   sized AS (SELECT *, '{{' || concat_ws(',', {', '.join(f"'\"{k}\":\"' || {k} || '\"'" for k in ing.UTM_URL_KEYS)}, '"first_seen_ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || '000Z"') || '}}' AS payload FROM landed),
   attribution AS (SELECT ts AS created_at, 'attribution_set' AS event_name, regexp_extract(url, '^https://[^/]*([^?]*)', 1) AS path, NULL::VARCHAR AS retailer, NULL::VARCHAR AS destination_url,
       utm_source, utm_medium, utm_campaign, utm_content, user_agent, referrer
-    FROM sized WHERE coalesce(utm_source, utm_medium, utm_campaign, utm_content, utm_term) IS NOT NULL
-      AND strlen(payload) * 3 - 2 * len(regexp_extract_all(payload, '[A-Za-z0-9_.!~*''()-]')) <= 1500)"""
+    FROM sized WHERE coalesce(utm_source, utm_medium, utm_campaign, utm_content, utm_term) IS NOT NULL)"""
 
 
 @query("attribution_events", f"WITH {ATTRIBUTION_SQL} SELECT * FROM attribution")
