@@ -17,8 +17,9 @@ from .registry import query
 #: Characters of a shingle; a shorter line is one shingle.
 SHINGLE = 9
 PERCENT = 80
-#: A pair at the threshold shares a band with probability 1 - (1 - 0.8^4)^8 = 0.985, one at 0.9 with 0.9997.
-BANDS, ROWS = 8, 4
+#: Signature values stand in a square of this side. Its rows, columns and wrapped diagonals are the bands: 12 of 4 values, of which
+#: two share one value at most. A pair at the threshold shares a band with probability 0.980, one at 0.85 with 0.994, one at 0.9 with 0.999.
+SIDE = 4
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -28,6 +29,12 @@ def masks(count: int) -> list[int]:
     return [m - 2**64 if m >= 2**63 else m for m in found]
 
 
+def bands_of(side: int) -> list[list[int]]:
+    """The places of the values of each band."""
+    around = range(side)
+    return [[r * side + c for c in around] for r in around] + [[r * side + c for r in around] for c in around] + [[r * side + (r + d) % side for r in around] for d in around]
+
+
 def points(line: Column) -> Column:
     """Four bytes a character, so that a shingle is cut out by its place."""
     return F.encode(line, "UTF-32")
@@ -39,15 +46,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.filter(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
-def banded(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+def banded(lines: DataFrame, size: int, side: int) -> DataFrame:
     """(sig, sid) of the lines (sid, line), a row per band."""
     count = F.greatest(F.length("line") - size + 1, F.lit(1))
     bodies = once(lines.select("sid", "line"), body=points(F.col("line")), count=count)  # else computed for every shingle
     cut = bodies.select("sid", "body", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
     hashed = cut.select("sid", F.xxhash64(F.substring(F.col("body"), F.col("at") * 4 + 1, F.lit(4 * size))).alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{n}") for n, m in enumerate(masks(bands * rows))]
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{n}") for n, m in enumerate(masks(side * side))]
     signed = hashed.groupBy("sid").agg(*least)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{at}") for at in band]) for b, band in enumerate(bands_of(side))])
     return signed.select("sid", F.explode(keys).alias("sig"))
 
 
@@ -65,7 +72,7 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, side: int = SIDE) -> DataFrame:
     """``docs`` (doc_id, text, any others) with ``text`` less its dropped lines, and ``n_lines`` and ``n_dropped`` in columns _n_lines and _n_dropped.
 
     Equal lines and lines whose shingle sets have a Jaccard likeness of ``percent`` or more form components, over all
@@ -77,7 +84,7 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, b
     lines = lines_of(docs.select(F.col("_row").alias("rk"), "doc_id", "text"))
     placed = settled(lines.select("rk", "doc_id", "line_no", F.xxhash64("line").alias("sid")))
     numbered = lines.select(F.xxhash64("line").alias("sid"), "line")
-    entries = banded(numbered, size, bands, rows)
+    entries = banded(numbered, size, side)
     group = Window.partitionBy("sig")
     entries = settled(entries.withColumn("least", F.min("sid").over(group)).withColumn("most", F.max("sid").over(group)).filter("least <> most").select("sig", "sid", F.lit(1).alias("n")))
     wanted = numbered.join(entries.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
