@@ -13,8 +13,14 @@ DOC_COLUMNS = [
 ]
 
 
-def read_folder_docs(spark: SparkSession, path: str) -> DataFrame:
-    """The raw documents of a folder: slug (the file name without ending) and text."""
+def read_folder_docs(spark: SparkSession, path: str, layout: str = "files") -> DataFrame:
+    """The raw documents of a folder: slug and text.
+
+    ``layout`` is ``files`` for one JSON file per retailer, named by its slug, or ``written`` for what ``write_folder_docs`` leaves.
+    """
+    if layout == "written":
+        stored = spark.read.text(path, wholetext=True)
+        return stored.select(F.col("slug").cast("string").alias("slug"), F.regexp_replace("value", r"\n\z", "").alias("raw"))
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
     slug = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     return files.select(slug.alias("slug"), F.col("value").alias("raw"))

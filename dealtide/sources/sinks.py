@@ -89,7 +89,7 @@ def stored_events(events: DataFrame) -> DataFrame:
 def append_events(events: DataFrame, path: str, files_per_day: int = 8) -> None:
     """Events into their days, each day in up to ``files_per_day`` files, however many tasks made them."""
     rows = stored_events(events)
-    rows = rows.repartition("event_date", F.pmod(F.xxhash64("created_at", "event_name", "path"), F.lit(files_per_day)))
+    rows = rows.repartition("event_date", F.pmod(F.xxhash64(*events.columns), F.lit(files_per_day)))
     rows.write.mode("append").partitionBy("event_date").parquet(path)
 
 
