@@ -14,6 +14,7 @@ HEADLINE = [
     "dedupe_view_hits", "infer_promo_type", "product_history", "search_products", "deduplicate_deals", "text_lines",
     "leaflet_deals", "jsonld_deals", "page_text_deals", "bucket_responses", "pick_folder_link", "validate_docs",
     "health_summary", "coverage_counts", "detect_changes", "change_history", "nearest_store_distance", "nearest_stores",
+    "extraction_fallback", "card_deals", "upsert_products", "health_entries", "run_log", "stream_upsert_products",
 ]
 
 

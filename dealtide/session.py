@@ -11,6 +11,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",  # whole pages and texts: a number of rows bounds no memory
 }
 
 
