@@ -144,7 +144,7 @@ def star_links(entries: DataFrame, verified: Callable[[DataFrame], DataFrame], p
     Nodes already connected are not compared. In each entry all nodes are first compared with its least one, then those of
     another component with up to eight of the entry's least component. What is in another component after that is
     compared with every node of the entry. So a large group of near copies costs its size, and no link is lost.
-    ``verified`` keeps the similar pairs; ``possible`` is a cheap condition on the sizes ``n`` and ``m`` of two nodes.
+    ``verified`` keeps the similar pairs; ``possible`` is a cheap condition on what is known of two nodes, ``n`` and ``m``.
     """
     possible = F.lit(True) if possible is None else possible
     edges = None

@@ -204,7 +204,7 @@ def least_small(percent: int) -> tuple[int, int]:
 
 
 def index(found: DataFrame, percent: int) -> DataFrame:
-    """(sig, sid, n) of sets (sid, n, tokens)."""
+    """(sig, sid, n) of sets (sid, n, tokens); ``n`` becomes the number of all and of shared tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(2)
@@ -213,9 +213,10 @@ def index(found: DataFrame, percent: int) -> DataFrame:
             made = [signatures(values[a:b], int(n), percent) for a, b, n in zip(edges[:-1], edges[1:], sizes)]
             count = [len(m) for m in made]
             all_made = np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(all_made), pa.array(np.repeat(sids, count)), pa.array(np.repeat(sizes, count))], ["sig", "sid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(all_made), pa.array(np.repeat(sids, count)), pa.array(np.repeat(sizes, count)), pa.array(np.repeat(np.diff(edges).astype(np.int64), count))], ["sig", "sid", "n", "shared"])
 
-    return found.select("sid", "n", "tokens").mapInArrow(run, "sig long, sid long, n long")
+    made = found.select("sid", "n", "tokens").mapInArrow(run, "sig long, sid long, n long, shared long")
+    return made.select("sig", "sid", F.struct(F.col("n").alias("all"), "shared").alias("n"))
 
 
 def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -227,8 +228,9 @@ def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
 
 def near(percent: int):
-    """Sizes of two sets that can be similar."""
-    return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    """Whether two sets of ``n`` and ``m`` (all, shared) tokens can be similar: only shared tokens can be common to both."""
+    common, total = F.least("n.shared", "m.shared"), F.col("n.all") + F.col("m.all")
+    return 100 * common >= percent * (total - common)
 
 
 def links(found: DataFrame, percent: int) -> DataFrame:
