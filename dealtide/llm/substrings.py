@@ -75,14 +75,17 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 def exchanged(source: DataFrame, scan, settle) -> DataFrame:
     """(key, places): what ``scan`` found within batches and ``settle`` over all packets of a part."""
-    sent = source.mapInArrow(scan, _SHARED_SCHEMA).groupBy("part").applyInArrow(settle, "key long, places array<int>")
-    return settled(sent.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")))
+    sent = source.mapInArrow(scan, _SHARED_SCHEMA).groupBy("part").applyInArrow(settle, "key long, place int")
+    return settled(sent.groupBy("key").agg(F.collect_set("place").alias("places")))
 
 
 def answer(table: pa.Table, key: np.ndarray, place: np.ndarray) -> pa.Table:
-    """The part's own finds and the rows that came through it."""
-    through = table.filter(table["key"].is_valid()).select(["key", "places"])
-    return pa.concat_tables([through, pa.Table.from_batches([found_rows(key, place, 1)]).select(["key", "places"])])
+    """(key, place) of the part's own finds and of the rows that came through it: as many rows as finds, however many parts there are."""
+    through = table.filter(table["key"].is_valid()).combine_chunks()
+    lengths = through["places"].combine_chunks().value_lengths().to_numpy() if len(through) else np.zeros(0, np.int64)
+    keys = np.append(np.repeat(through["key"].to_numpy(), lengths), key).astype(np.int64)
+    held = through["places"].combine_chunks().flatten().to_numpy() if len(through) else np.zeros(0, np.int32)
+    return pa.table({"key": pa.array(keys), "place": pa.array(np.append(held, place).astype(np.int32))})
 
 
 def anchor_hits(source: DataFrame, half: int, parts: int) -> DataFrame:
@@ -113,7 +116,9 @@ def anchor_hits(source: DataFrame, half: int, parts: int) -> DataFrame:
                 keep[first[hit]] = True
                 # flag 1: a block; flag 2: known to be met, needs no answer
                 flags = np.where(hit[run], has_block[run] + 2, block)
-                yield packets(rolled[keep], flags[keep], who[keep], place[keep], keys, None, parts, ANCHOR_CUT)
+                # sent in the order of the texts, in which documents and places compress to little
+                sent = np.flatnonzero(keep)[np.argsort(order[keep])]
+                yield packets(rolled[sent], flags[sent], who[sent], place[sent], keys, None, parts, ANCHOR_CUT)
 
     def settle(table: pa.Table) -> pa.Table:
         rolled, flags, key, _, place = unpacked(table)
