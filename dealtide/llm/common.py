@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable
 
@@ -34,6 +35,14 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Give Spark's cleaner the time to drop the shuffle files of frames no longer in use, after a step that wrote many."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def once(frame: DataFrame, **columns: Column) -> DataFrame:
     """``frame`` with ``columns``, each computed exactly once per row however often it is used above.
 

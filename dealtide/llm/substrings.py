@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, settled, sha256
+from .common import documents, partitions, released, settled, sha256
 from .hashing import by_part, lists, planes, runs, text_groups, unplanes, windows, words
 from .registry import query
 
@@ -191,7 +191,9 @@ def deduplicated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     named = source.filter(F.col("doc_id").isNotNull())
     hits = anchor_hits(named, width // 2, parts)
+    released(docs.sparkSession)
     starts = repeat_starts(named.join(hits, "key").select("doc_id", "text", "key", "places"), width, parts)
+    released(docs.sparkSession)
     marked = source.join(starts, "key", "left").select("doc_id", "text", "places")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
