@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least doc_id. Documents without an id stay."""
-    return ngram_join.representatives(docs)
+    """Of each group of documents linked by a Jaccard likeness of 0.8 of their word 5-grams the one of least doc_id. Documents without an id stay."""
+    return ngram_join.representatives(docs, width=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
