@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that repeat others; ``n_chars`` follows the text. No document goes."""
-    found = fuzzy_lines.deduplicated(docs).drop("_n_lines", "_n_dropped")
+    found = fuzzy_lines.deduplicated(docs, size=fuzzy_lines.SHINGLE).drop("_n_lines", "_n_dropped")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

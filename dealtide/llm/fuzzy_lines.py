@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import components, documents, once, settled, star_links
 from .registry import query
 
-#: Characters of a shingle; a shorter line is one shingle.
-SHINGLE = 9
+#: Characters of a shingle in the queries, and where a caller names none; a shorter line is one shingle.
+SHINGLE, LONG_SHINGLE = 5, 9
 PERCENT = 80
 #: Signature values stand in a square of this side. Its rows, columns and wrapped diagonals are the bands: 12 of 4 values, of which
 #: two share one value at most. A pair at the threshold shares a band with probability 0.980, one at 0.85 with 0.994, one at 0.9 with 0.999.
@@ -72,7 +72,7 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, side: int = SIDE) -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = LONG_SHINGLE, percent: int = PERCENT, side: int = SIDE) -> DataFrame:
     """``docs`` (doc_id, text, any others) with ``text`` less its dropped lines, and ``n_lines`` and ``n_dropped`` in columns _n_lines and _n_dropped.
 
     Equal lines and lines whose shingle sets have a Jaccard likeness of ``percent`` or more form components, over all
@@ -107,4 +107,4 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, s
 
 @query("op8_fuzzy_line_dedup")
 def op8(spark, sf_dir):
-    return deduplicated(documents(spark, sf_dir)).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    return deduplicated(documents(spark, sf_dir), size=SHINGLE).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")

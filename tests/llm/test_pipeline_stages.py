@@ -18,3 +18,12 @@ def test_near_duplicates_stage(spark, odd, rows):
     docs = odd.select("doc_id", "text").union(table(spark, more, "doc_id long, text string"))
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()}
     assert kept == {i for i, _, c in brute.jaccard_components(rows + more, 5, 80) if i == c} and 2001 not in kept
+
+
+def test_line_dedup_stage_on_short_lines(spark):
+    """A short line with one letter or number replaced goes; every pair is compared on 5-character shingles."""
+    lines = ["Alle Rechte vorbehalten, Copyright der Musterfirma 2019 in Bonn", "Alle Rechte vorbehalten, Copyright der Musterfirma 2018 in Bonn", "Eine ganz andere Zeile, die bleibt, wie sie ist"]
+    rows = [(n, line) for n, line in enumerate(lines)]
+    docs = table(spark, [(n, t, "de", "z", len(t)) for n, t in rows])
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect())
+    assert got == brute.fuzzy_lines(rows, size=5) and got[1] == (1, "")
