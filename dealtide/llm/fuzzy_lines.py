@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash over character shingles. DataFrame operations only.
 
-A line's signature holds the least shingle hash under each of many permutations; a permutation is the exclusive or
-with a constant, which orders hash values like a random rank. Shingles are exploded and reduced by partial aggregates, so
+A line's signature holds the least shingle hash under each of many permutations; a permutation is the rank by
+another hash of that hash, so the values are independent for short lines too. Shingles are exploded and reduced by partial aggregates, so
 they never leave the task that reads the line. Bands of the signature index the lines; lines that share a band are
 verified by the exact Jaccard likeness of their shingle sets, and union-find joins what is similar.
 """
@@ -17,22 +17,14 @@ from .registry import query
 #: Characters of a shingle in the queries, and where a caller names none; a shorter line is one shingle.
 SHINGLE, LONG_SHINGLE = 5, 9
 PERCENT = 80
-#: Signature values stand in a square of this side. Its rows, columns and wrapped diagonals are the bands: 12 of 4 values, of which
-#: two share one value at most. A pair at the threshold shares a band with probability 0.980, one at 0.85 with 0.994, one at 0.9 with 0.999.
-SIDE = 4
-_MIX = 0x9E3779B97F4A7C15
+#: Bands of a signature and values of a band. A pair at the threshold shares a band with probability 0.999.
+BANDS, ROWS = 10, 3
 
 
-def masks(count: int) -> list[int]:
-    """Constants spread over 64 bits, as signed numbers."""
-    found = [(n + 1) * _MIX * (2 * n + 3) % 2**64 for n in range(count)]
-    return [m - 2**64 if m >= 2**63 else m for m in found]
-
-
-def bands_of(side: int) -> list[list[int]]:
-    """The places of the values of each band."""
-    around = range(side)
-    return [[r * side + c for c in around] for r in around] + [[r * side + c for r in around] for c in around] + [[r * side + (r + d) % side for r in around] for d in around]
+def values(shingle: Column, count: int) -> list[Column]:
+    """``count`` ranks of a shingle's hash. A hash with a seed of its own gives two, by its high and by its low half first."""
+    hashes = [F.xxhash64(shingle, F.lit(n)) for n in range(-(-count // 2))]
+    return [rank for h in hashes for rank in (h, F.shiftleft(h, 32))][:count]
 
 
 def points(line: Column) -> Column:
@@ -46,15 +38,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.filter(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
-def banded(lines: DataFrame, size: int, side: int) -> DataFrame:
+def banded(lines: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(sig, sid) of the lines (sid, line), a row per band."""
     count = F.greatest(F.length("line") - size + 1, F.lit(1))
     bodies = once(lines.select("sid", "line"), body=points(F.col("line")), count=count)  # else computed for every shingle
     cut = bodies.select("sid", "body", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
     hashed = cut.select("sid", F.xxhash64(F.substring(F.col("body"), F.col("at") * 4 + 1, F.lit(4 * size))).alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{n}") for n, m in enumerate(masks(side * side))]
+    least = [F.min(rank).alias(f"m{n}") for n, rank in enumerate(values(F.col("h"), bands * rows))]
     signed = hashed.groupBy("sid").agg(*least)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{at}") for at in band]) for b, band in enumerate(bands_of(side))])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
     return signed.select("sid", F.explode(keys).alias("sig"))
 
 
@@ -72,7 +64,7 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def deduplicated(docs: DataFrame, size: int = LONG_SHINGLE, percent: int = PERCENT, side: int = SIDE) -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = LONG_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` (doc_id, text, any others) with ``text`` less its dropped lines, and ``n_lines`` and ``n_dropped`` in columns _n_lines and _n_dropped.
 
     Equal lines and lines whose shingle sets have a Jaccard likeness of ``percent`` or more form components, over all
@@ -84,7 +76,7 @@ def deduplicated(docs: DataFrame, size: int = LONG_SHINGLE, percent: int = PERCE
     lines = lines_of(docs.select(F.col("_row").alias("rk"), "doc_id", "text"))
     placed = settled(lines.select("rk", "doc_id", "line_no", F.xxhash64("line").alias("sid")))
     numbered = lines.select(F.xxhash64("line").alias("sid"), "line")
-    entries = banded(numbered, size, side)
+    entries = banded(numbered, size)
     group = Window.partitionBy("sig")
     entries = settled(entries.withColumn("least", F.min("sid").over(group)).withColumn("most", F.max("sid").over(group)).filter("least <> most").select("sig", "sid", F.lit(1).alias("n")))
     wanted = numbered.join(entries.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
