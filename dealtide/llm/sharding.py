@@ -18,13 +18,13 @@ def links_of(nodes: DataFrame) -> DataFrame:
     return nodes.join(groups, "digest").filter("node <> b").select(F.col("node").alias("a"), "b")
 
 
-def propagate(labels: DataFrame, links: DataFrame, shards: int, room: int, rounds: int) -> DataFrame:
-    """``labels`` (node, shard) of the linked nodes after ``rounds`` of moves along ``links`` (a, b).
+def propagate(labels: DataFrame, links: DataFrame, room: int, rounds: int) -> DataFrame:
+    """``labels`` (node, shard) of the linked nodes after moves along ``links`` (a, b), until no node asks for a shard with room.
 
-    In each round a half of the nodes, another by hash each time, asks for the shard most of its neighbours are in, if that beats its own.
-    Votes are partial counts, so a hub is no hot task. A shard takes at most what its quota ``room`` leaves: requests
-    are counted by hash part, and the parts that fit are let in. Unlinked documents count against no quota here, as
-    they can later go anywhere without cutting a link.
+    A node asks for the shard most of its neighbours are in, if that beats its own; in each round a half of the nodes, another by
+    hash each time, may move. Votes are partial counts, so a hub is no hot task. A shard takes what its quota ``room`` leaves:
+    requests are counted by hash part, and of the part that fits in part the first ones are let in. Unlinked documents count
+    against no quota here, as they can later go anywhere without cutting a link. Moves left after ``rounds`` are an error.
     """
     both = settled(links.union(links.select("b", "a")))
     now = settled(labels)
@@ -35,18 +35,24 @@ def propagate(labels: DataFrame, links: DataFrame, shards: int, room: int, round
         asked = votes.join(own, "a").groupBy("a", "shard").agg(
             F.max(F.struct("votes", (-F.col("near")).alias("near"))).alias("best"), F.coalesce(F.max(F.when(F.col("near") == F.col("shard"), F.col("votes"))), F.lit(0)).alias("here"),
         )
-        wants = asked.filter((F.col("best.votes") > F.col("here")) & (F.pmod(F.xxhash64("a", F.lit(-1 - n)), F.lit(2)) == 0))
-        wants = wants.select("a", (-F.col("best.near")).alias("to"), F.pmod(F.xxhash64("a", F.lit(n)), F.lit(_PARTS)).alias("part"))
-        loads = now.groupBy("shard").agg(F.count("*").alias("load")).select(F.col("shard").alias("to"), "load")
+        wants = settled(asked.filter(F.col("best.votes") > F.col("here")).select("a", (-F.col("best.near")).alias("to")))
+        loads = {r["shard"]: r["n"] for r in now.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row per shard
+        left = {r["to"]: room - loads.get(r["to"], 0) for r in wants.select("to").distinct().collect()}
+        left = {to: free for to, free in left.items() if free > 0}
+        if not left:
+            return now
+        free = F.element_at(F.create_map(*[F.lit(v) for pair in left.items() for v in pair]), F.col("to"))
+        wants = wants.filter(F.col("to").isin(list(left)) & (F.pmod(F.xxhash64("a", F.lit(-1 - n)), F.lit(2)) == 0)).withColumn("part", F.pmod(F.xxhash64("a", F.lit(n)), F.lit(_PARTS)))
         counts = wants.groupBy("to", "part").agg(F.count("*").alias("n"))  # shards x parts rows at most
-        before = Window.partitionBy("to").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-        fit = counts.withColumn("sum", F.sum("n").over(before)).join(loads, "to", "left").filter(F.col("sum") <= room - F.coalesce("load", F.lit(0)))
-        moves = wants.join(fit.select("to", "part"), ["to", "part"]).select(F.col("a").alias("node"), "to")
+        before = Window.partitionBy("to").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        fit = counts.withColumn("open", free - F.coalesce(F.sum("n").over(before), F.lit(0))).filter("open > 0").select("to", "part", "open")
+        place = F.row_number().over(Window.partitionBy("to", "part").orderBy("a"))
+        moves = wants.join(fit, ["to", "part"]).withColumn("place", place).filter(F.col("place") <= F.col("open")).select(F.col("a").alias("node"), "to")
         now = settled(now.join(moves, "node", "left").select("node", F.coalesce("to", "shard").cast("int").alias("shard")))
-    return now
+    raise RuntimeError(f"moves are left after {rounds} rounds of propagation")
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = 8, links: DataFrame | None = None) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = 200, links: DataFrame | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row of ``docs`` (doc_id, text).
 
     ``links`` (a, b) names linked nodes; without it equal texts are linked. Null texts have size 8 and link nothing; repeated
@@ -65,7 +71,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = 8, links: DataF
     start = F.pmod(F.xxhash64("doc_id", F.col("digest")), F.lit(shards)).cast("int")
     linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     labels = nodes.join(linked, "node", "left_semi").select("node", start.alias("shard"))
-    placed = propagate(labels, links, shards, total // shards, rounds)
+    placed = propagate(labels, links, total // shards, rounds)
     placed = placed.withColumn("tied", F.lit(True))
     rows = nodes.withColumn("start", start).drop("digest").join(placed, "node", "left")
     rows = rows.select("doc_id", "size", "text_crc32", "node", F.coalesce("shard", "start").alias("at"), F.coalesce("tied", F.lit(False)).alias("tied"))

@@ -23,3 +23,12 @@ def test_bands_find_pairs_at_the_threshold(spark):
     entries = fuzzy_lines.banded(table(spark, rows, "sid long, line string"), 5).withColumn("pair", F.shiftright("sid", 1))
     met = entries.groupBy("pair", "sig").agg(F.countDistinct("sid").alias("n")).filter("n = 2").select("pair").distinct().count()
     assert met >= 0.995 * 3000
+
+
+def test_equal_texts_are_never_cut_while_there_is_room(spark):
+    rows = [(n, f"text {n // 2}" if n < 3000 else f"alone {n}") for n in range(12000)]
+    found = sharding.sharded(table(spark, rows, "doc_id long, text string"), shards=4).collect()
+    shards = defaultdict(set)
+    for r in found:
+        shards[rows[r["doc_id"]][1]].add(r["shard"])
+    assert all(len(s) == 1 for s in shards.values())
