@@ -61,7 +61,7 @@ def keys_of(group: np.ndarray, places: np.ndarray) -> np.ndarray:
 def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, doc_id, n, d1, d2, carrier, tokens) for every row of ``docs`` (doc_id, text).
 
-    n is the number of distinct tokens, d1 and d2 their 128-bit digest. Of equal sets in a batch one row is the carrier; its
+    n is the number of distinct tokens, d1 and d2 their 128-bit digest. Of equal sets in a batch one row with a doc_id is the carrier; its
     ``tokens`` are those that other carriers share, with the lowest bit set if frequent. Rows are told apart by ``key``, which follows from the rows hashed together.
     """
     spark = docs.sparkSession
@@ -93,8 +93,8 @@ def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     digests.append((sums[ends] - sums[ends - n]).view(np.int64))
                 named = np.rec.fromarrays([*digests, n])
                 carrier = np.zeros(size, bool)
-                carrier[np.unique(named, return_index=True)[1]] = True
-                carrier &= n > 0
+                able = np.flatnonzero((n > 0) & batch.column(0).slice(start, size).is_valid().to_numpy(zero_copy_only=False))
+                carrier[able[np.unique(named[able], return_index=True)[1]]] = True
                 live = carrier[owner]
                 owner, token = owner[live], token[live]
                 order = np.argsort(token, kind="stable")

@@ -32,3 +32,11 @@ def test_equal_texts_are_never_cut_while_there_is_room(spark):
     for r in found:
         shards[rows[r["doc_id"]][1]].add(r["shard"])
     assert all(len(s) == 1 for s in shards.values())
+
+
+def test_null_id_ahead_of_an_equal_text(spark):
+    words = [f"w{n}" for n in range(100)]
+    text, near = " ".join(words), " ".join(words[:-2])
+    frame = table(spark, [(None, text), (1, text), (2, near)], "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.joined(frame).collect())
+    assert got == [(0, 0), (1, 1), (2, 1)] and brute.jaccard_components([(1, text), (2, near)])[1][2] == 1
