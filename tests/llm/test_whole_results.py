@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from dealtide.llm import fuzzy_lines, ngram_join, sharding
+from dealtide.llm import fingerprints, fuzzy_lines, ngram_join, sharding
 
 from . import brute
 from .conftest import table
@@ -40,3 +40,13 @@ def test_null_id_ahead_of_an_equal_text(spark):
     frame = table(spark, [(None, text), (1, text), (2, near)], "doc_id long, text string").coalesce(1)
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.joined(frame).collect())
     assert got == [(0, 0), (1, 1), (2, 1)] and brute.jaccard_components([(1, text), (2, near)])[1][2] == 1
+
+
+def test_fingerprints_feel_edits_without_blanks_and_of_short_texts(spark):
+    random = np.random.default_rng(12)
+    text = "".join(chr(0x4E00 + n) for n in random.integers(0, 3000, 2000))
+    short = "".join(chr(97 + n) for n in random.integers(0, 26, 27))
+    frame = table(spark, [(0, text), (1, "x" + text), (2, short)], "doc_id long, text string")
+    f = [r["f"] for r in fingerprints.fingerprinted(frame, "text", "f").orderBy("doc_id").collect()]
+    assert sum(a == b for a, b in zip(f[0], f[1])) > 0.9 * 64
+    assert len(set(f[2])) > 20  # ten k-mers have 45 pairs
