@@ -198,14 +198,14 @@ def pick_pdf(pages: DataFrame, captures: DataFrame, by: list[str]) -> DataFrame:
     return joined.withColumn("pdf_url", F.coalesce(F.col("pdf"), file, named)).drop("pdf")
 
 
-def build_folder_rows(captures: DataFrame, screenshots: DataFrame, as_of, max_pages: int = MAX_PAGES) -> DataFrame:
+def build_folder_rows(captures: DataFrame, screenshots: DataFrame, as_of, max_pages: int | None = None) -> DataFrame:
     """Leaflet rows from captures.
 
     ``captures``: slug, name, folder_title, embed_url, embed_kind, pdf_url, offline, embeddable,
-    deal_count; ``screenshots``: slug, page_number, image_url, one row per page. At most ``max_pages``
-    pages of a leaflet are taken, so the page list is small.
+    deal_count; ``screenshots``: slug, page_number, image_url, one row per page. All pages of a leaflet are
+    taken, or its first ``max_pages``.
     """
-    shots = screenshots.filter(F.col("page_number").between(1, max_pages))
+    shots = screenshots if max_pages is None else screenshots.filter(F.col("page_number").between(1, max_pages))
     shots = shots.groupBy("slug", "page_number").agg(F.min("image_url").alias("image_url"))
     pages = shots.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("page_number", "image_url"))).alias("pages"))
     now = clock(as_of)
@@ -276,8 +276,8 @@ def set_query_value(url: Column, key: str, value: Column) -> Column:
     return F.when(there, replaced).otherwise(F.concat(base, joint, F.lit(key + "="), value, tail))
 
 
-def viewer_page_urls(embeds: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """The URL of each page of a viewer, from page 1 on. ``embeds``: url and more; other URLs give none."""
+def viewer_page_urls(embeds: DataFrame, max_pages: int) -> DataFrame:
+    """The URL of each page of a viewer, from page 1 to ``max_pages``; a URL does not tell how many it has. ``embeds``: url and more; other URLs give none."""
     url, page = F.col("url"), F.col("page").cast("string")
     path = F.regexp_extract(url, r"^([^?#]*)", 1)
     rest = F.regexp_extract(url, r"^[^?#]*(.*)\z", 1)

@@ -90,29 +90,31 @@ def validate_docs(docs: DataFrame) -> DataFrame:
     return unnest(docs, ["slug"], document_issues(), "issue").select("slug", "issue.*")
 
 
-def run_status(attempts: DataFrame, docs: DataFrame, as_of) -> DataFrame:
+def run_status(attempts: DataFrame, docs: DataFrame, as_of, allowed: int | None = ATTEMPTS, allowed_if_expired: int | None = ATTEMPTS_IF_EXPIRED) -> DataFrame:
     """Outcome of each run and retailer from its attempts.
 
-    ``attempts``: run_id, slug, attempt (from 1), ok, error. A retailer whose first leaflet has expired
-    gets one attempt more. After the last failure usable local data serve, stale past a week.
+    ``attempts``: run_id, slug, attempt (from 1), ok, error. The first ``allowed`` attempts count, or
+    ``allowed_if_expired`` for a retailer whose first leaflet has expired; None counts all. After the last failure
+    usable local data serve, stale past a week.
     """
     now = clock(as_of)
     local = docs.select(
         "slug", F.col("is_valid"), age_hours(docs, as_of).alias("age_hours"),
         first_expiry(now)["expired"].alias("expired"),
     )
-    allowed = F.when(F.coalesce(F.col("expired"), F.lit(False)), ATTEMPTS_IF_EXPIRED).otherwise(ATTEMPTS)
-    # The log is reduced to one row per run and retailer before it meets the documents; the few
-    # attempts that can count are kept apart there.
-    slots = range(1, ATTEMPTS_IF_EXPIRED + 1)
-    tried = attempts.groupBy("run_id", "slug").agg(
-        *[F.max(F.when(F.col("attempt") == n, F.col("ok"))).alias(f"ok{n}") for n in slots],
-        *[F.max(F.when(F.col("attempt") == n, F.col("error"))).alias(f"error{n}") for n in slots],
-    )
-    joined = tried.join(local, "slug", "left").withColumn("allowed", allowed)
-    win = F.least(*[F.when(F.col(f"ok{n}") & (F.col("allowed") >= n), n) for n in slots])
-    last = F.greatest(*[F.when(F.col(f"ok{n}").isNotNull() & (F.col("allowed") >= n), n) for n in slots])
-    used = F.coalesce(win, last)
+
+    # The log is reduced to one row per run and retailer before it meets the documents.
+    def within(limit: int | None, name: str) -> list[Column]:
+        n = F.col("attempt").cast("int")
+        counts = F.col("ok").isNotNull() & (n >= 1) & (F.lit(True) if limit is None else n <= limit)
+        last = F.max(F.when(counts, F.struct(n.alias("n"), F.col("error"))))
+        return [F.min(F.when(counts & F.col("ok"), n)).alias(f"win{name}"), last.alias(f"last{name}")]
+
+    tried = attempts.groupBy("run_id", "slug").agg(*within(allowed, ""), *within(allowed_if_expired, "_expired"))
+    joined = tried.join(local, "slug", "left")
+    either = lambda name: F.when(F.coalesce(F.col("expired"), F.lit(False)), F.col(f"{name}_expired")).otherwise(F.col(name))
+    win, last = either("win"), either("last")
+    used = F.coalesce(win, last["n"])
     usable = F.coalesce(F.col("is_valid"), F.lit(False))
     status = (
         F.when((win == 1), "fresh")
@@ -121,7 +123,7 @@ def run_status(attempts: DataFrame, docs: DataFrame, as_of) -> DataFrame:
         .when(usable, "fallback_local")
         .otherwise("missing")
     )
-    error = F.when(win.isNull(), F.coalesce(*[F.when(last == n, F.col(f"error{n}")) for n in reversed(slots)]))
+    error = F.when(win.isNull(), last["error"])
     return joined.select(
         "run_id", "slug", status.alias("status"), used.alias("attempts"), error.alias("error"),
         F.when(win.isNull() & usable, format_age(F.col("age_hours"))).alias("data_age"),

@@ -171,6 +171,10 @@ CARD_DISCOUNT = (
 )
 
 
+#: What the reference takes of cards.
+CARD_LIMITS = {"shortest": 15, "longest": 300, "above": 0.01, "below": 50000, "key_length": 30, "name_length": 100}
+
+
 def card_texts(pages: DataFrame) -> DataFrame:
     """The texts of the product cards of each page as an array; a broader search where none are marked."""
     kept = [c for c in pages.columns if c != "html"]
@@ -188,7 +192,7 @@ def card_texts(pages: DataFrame) -> DataFrame:
     return pages.mapInPandas(read, schema)
 
 
-def _card_name(text: Column) -> Column:
+def _card_name(text: Column, length: int | None) -> Column:
     """The first line that still names something without its prices."""
     naked = rf"{WORD_START}\d{{1,3}}[.,]\d{{2}}{WORD_END}"
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda line: longer_than(line, 3))
@@ -201,11 +205,18 @@ def _card_name(text: Column) -> Column:
         & ~line.rlike(rf"^{SPACE[:-1]}\d%€,.+\-]+\z")
         & ~line.rlike(NOISE_LINE),
     )
-    return utf16_head(F.get(named, F.lit(0)), 100)
+    name = F.get(named, F.lit(0))
+    return name if length is None else utf16_head(name, length)
+
 
+def page_text_deals(
+    pages: DataFrame, shortest: int | None = 15, longest: int | None = 300, above: float | None = 0.01, below: float | None = None,
+    key_length: int | None = None, name_length: int | None = None,
+) -> DataFrame:
+    """Deals from card texts with a euro price, one per name in a page.
 
-def page_text_deals(pages: DataFrame) -> DataFrame:
-    """Deals from card texts: 15 to 300 characters with a euro price, one per name in a page.
+    Cards have ``shortest`` to ``longest`` characters, prices lie between ``above`` and ``below``, names that share
+    ``key_length`` letters and digits are one, and names are cut at ``name_length``; None sets no bound.
 
     ``pages``: ``cards`` (array of texts) and any further columns, which are kept. A page is one row and
     stays one until its deals are final. A card that takes a name but has no usable price still uses
@@ -214,22 +225,23 @@ def page_text_deals(pages: DataFrame) -> DataFrame:
     kept = [c for c in pages.columns if c != "cards"]
 
     def read(text: Column, at: Column) -> Column:
-        return F.struct(at.alias("at"), _card_name(text).alias("product"), text.alias("text"))
+        return F.struct(at.alias("at"), _card_name(text, name_length).alias("product"), text.alias("text"))
 
     def keyed(card: Column) -> Column:
-        key = F.substring(erase(F.lower(card["product"]), "[^a-z0-9]"), 1, 30)
+        key = erase(F.lower(card["product"]), "[^a-z0-9]")
+        key = key if key_length is None else F.substring(key, 1, key_length)
         return F.struct(key.alias("key"), card["at"].alias("at"), card["product"].alias("product"), card["text"].alias("text"))
 
     sized = F.filter(
         F.transform("cards", strip),
-        lambda t: (utf16_length(t) >= 15) & (utf16_length(t) <= 300) & t.rlike(EURO_PRICE),
+        lambda t: (utf16_length(t) >= (shortest or 0)) & (F.lit(True) if longest is None else utf16_length(t) <= longest) & t.rlike(EURO_PRICE),
     )
     named = F.filter(F.transform(sized, read), lambda c: c["product"].isNotNull())
     by_key = pages.select(*kept, F.array_sort(F.transform(named, keyed)).alias("_cards"))
     firsts = F.filter("_cards", lambda c, i: (i == 0) | (F.get("_cards", i - 1)["key"] != c["key"]))
 
     def priced(card: Column) -> Column:
-        prices = F.filter(numbers_in(card["text"], EURO_PRICE), lambda p: (p > 0.01) & (p < 50000))
+        prices = F.filter(numbers_in(card["text"], EURO_PRICE), lambda p: (F.lit(True) if above is None else p > above) & (F.lit(True) if below is None else p < below))
         return F.struct(
             card["at"].alias("at"), card["product"].alias("product"), F.array_min(prices).alias("low"),
             F.array_max(prices).alias("high"), card["text"].alias("text"),

@@ -155,17 +155,16 @@ def text_deals(docs: DataFrame) -> DataFrame:
     )
 
 
-def catalogue_gate(pages: DataFrame, by: list[str]) -> DataFrame:
-    """Documents that look like a catalogue: at least two euro prices in their first twelve pages.
+def catalogue_gate(pages: DataFrame, by: list[str], max_pages: int | None = MAX_PAGES) -> DataFrame:
+    """Documents that look like a catalogue: at least two euro prices in their first ``max_pages`` pages, or in all for None.
 
-    ``pages``: the ``by`` columns, page_no (unique in a document) and text. Pages past the twelfth are
-    dropped before the shuffle, and each of the twelve has one slot in the aggregate, so its state stays
-    small even if pages come in copies.
+    ``pages``: the ``by`` columns, page_no (unique in a document) and text. Pages past the last one are
+    dropped before the shuffle, and copies of a page are reduced to one before pages are listed.
     """
-    numbers = range(1, MAX_PAGES + 1)
-    slots = [F.min(F.when(F.col("page_no") == n, F.col("text"))).alias(f"_page{n}") for n in numbers]
-    joined = pages.filter(F.col("page_no").between(1, MAX_PAGES)).groupBy(*by).agg(*slots)
-    docs = joined.select(*by, F.concat_ws("\n", *[F.col(f"_page{n}") for n in numbers]).alias("text"))
+    taken = pages if max_pages is None else pages.filter(F.col("page_no").between(1, max_pages))
+    single = taken.groupBy(*by, "page_no").agg(F.min("text").alias("text"))
+    listed = single.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_pages"))
+    docs = listed.select(*by, F.array_join(F.col("_pages.text"), "\n").alias("text"))
     return docs.filter(F.regexp_count("text", F.lit(EURO_PRICE)) >= 2)
 
 

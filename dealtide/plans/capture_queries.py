@@ -225,7 +225,7 @@ def build_folder_rows(t):
         F.concat(F.lit("s"), (F.col("o_custkey") % 50).cast("string")).alias("slug"), page.alias("page_number"),
     ).distinct()
     shots = shots.withColumn("image_url", F.concat(F.lit("/shots/"), F.col("page_number").cast("string"), F.lit(".png")))
-    return cp.build_folder_rows(rows, shots, AS_OF).drop("pages", "scraped_at")
+    return cp.build_folder_rows(rows, shots, AS_OF, max_pages=cp.MAX_PAGES).drop("pages", "scraped_at")
 
 
 WEEK_SLUGS = "CASE o_custkey % 5 WHEN 0 THEN 'albert-heijn' WHEN 1 THEN 'delhaize' WHEN 2 THEN 'aldi' WHEN 3 THEN 'lidl' ELSE 'other' END"
@@ -277,4 +277,4 @@ VIEWERS = """CASE p_partkey % 6 WHEN 0 THEN 'https://e.issuu.com/embed.html?d=x'
 )
 def viewer_page_urls(t):
     embeds = t.part.select("p_partkey", F.expr(VIEWERS).alias("url"))
-    return cp.viewer_page_urls(embeds).select("p_partkey", "page", "page_url")
+    return cp.viewer_page_urls(embeds, max_pages=cp.MAX_PAGES).select("p_partkey", "page", "page_url")

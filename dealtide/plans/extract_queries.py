@@ -123,12 +123,12 @@ GATE_SQL = f"""catalogues AS (SELECT * FROM (SELECT doc_id, retailer_slug, strin
 
 @query("catalogue_gate", f"WITH {GATE_SQL} SELECT doc_id, retailer_slug, text FROM catalogues")
 def catalogue_gate(t):
-    return td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"])
+    return td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"], max_pages=td.MAX_PAGES)
 
 
 @query("leaflet_deals", f"WITH {GATE_SQL}, {deals_sql('catalogues')} SELECT * FROM text_deals")
 def leaflet_deals(t):
-    return td.text_deals(td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"]))
+    return td.text_deals(td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"], max_pages=td.MAX_PAGES))
 
 
 LD_SQL = """ld_deals AS (
@@ -196,7 +196,7 @@ PAGE_TEXT_SQL = """page_text AS (
         {PAGE_TEXT_SQL.rstrip(',')} SELECT * FROM page_text""",
 )
 def page_text_deals(t):
-    return pg.page_text_deals(t.card_texts)
+    return pg.page_text_deals(t.card_texts, **pg.CARD_LIMITS)
 
 
 @query(
@@ -211,9 +211,9 @@ def card_text_scan(t):
 def _fallback_stages(t):
     primary = pg.jsonld_deals(t.ld_pages).unionByName(pg.card_deals(t.card_pages, CARD_RULES), allowMissingColumns=True)
     primary = primary.select("*", F.lit("html").alias("method"), F.lit(0).cast("bigint").alias("page_no"))
-    leaflets = td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"])
+    leaflets = td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"], max_pages=td.MAX_PAGES)
     pdf = td.text_deals(leaflets).select("*", F.lit("pdf-text").alias("method"), F.lit(0).cast("bigint").alias("page_no"))
-    text = pg.page_text_deals(t.card_texts).select("*", F.lit("page-text").alias("method"), F.col("page_id").alias("page_no"))
+    text = pg.page_text_deals(t.card_texts, **pg.CARD_LIMITS).select("*", F.lit("page-text").alias("method"), F.col("page_id").alias("page_no"))
     return primary, pdf, text
 
 

@@ -222,7 +222,7 @@ STATUS_SQL = f"""{EXPIRY_SQL}, local AS (SELECT slug, coalesce(json_type(doc, '$
 
 
 def results_of(t):
-    return he.run_status(t.attempt_log, docs_of(t), AS_OF)
+    return he.run_status(t.attempt_log, docs_of(t), AS_OF, he.ATTEMPTS, he.ATTEMPTS_IF_EXPIRED)
 
 
 @query("run_status", f"WITH {STATUS_SQL} SELECT * FROM results")
