@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_week, iso_week_year
@@ -39,14 +39,14 @@ def _with_missing(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     return frame.withColumns(absent) if absent else frame
 
 
-def product_rows(deals: DataFrame, as_of: datetime | str) -> DataFrame:
-    """Deals as product rows, with promotion type, ISO week and a key-derived id.
+def product_id() -> Column:
+    """The id of a product key: 128 bits of hash over its parts as a struct, so no part runs into the next."""
+    key = F.struct(*[F.col(c) for c in KEY if c != "promo_key"], _promo_key().alias("promo_key"))
+    return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(n), key)), 16, "0") for n in range(2)]))
 
-    ``deals``: retailer_slug, product, prices, discount, validity, vertical, scraped_at and ``seq`` (the
-    order in which they were found); other columns are taken when present. Rows without a required
-    value are left out, as a failing insert is. The id depends on the key alone, so a task that is run
-    again gives the same id.
-    """
+
+def keyed_rows(deals: DataFrame, as_of: datetime | str) -> DataFrame:
+    """``product_rows`` without the promotion type, which ``upsert_products`` finds for the rows it keeps."""
     full = _with_missing(
         deals,
         {
@@ -68,7 +68,6 @@ def product_rows(deals: DataFrame, as_of: datetime | str) -> DataFrame:
         "original_price",
         "promo_price",
         F.col("discount").alias("discount_label"),
-        infer_promo_type(F.col("discount"), F.col("product"), F.col("promo_price")).alias("promo_type"),
         day.alias("valid_from"),
         F.col("valid_until").cast("date").alias("valid_until"),
         iso_week(day).alias("week_number"),
@@ -81,9 +80,23 @@ def product_rows(deals: DataFrame, as_of: datetime | str) -> DataFrame:
         stamp.alias("updated_at"),
         "seq",
     )
-    rows = rows.dropna(subset=REQUIRED)
-    identity = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in KEY if c != "promo_key"], _promo_key().cast("string"))
-    return rows.withColumn("id", F.md5(identity)).select(*COLUMNS, "seq")
+    rows = rows.dropna(subset=REQUIRED).withColumn("id", product_id())
+    return rows.select(*[c for c in COLUMNS if c != "promo_type"], "seq")
+
+
+def _promo_type() -> Column:
+    return infer_promo_type(F.col("discount_label"), F.col("product_name"), F.col("promo_price"))
+
+
+def product_rows(deals: DataFrame, as_of: datetime | str) -> DataFrame:
+    """Deals as product rows, with promotion type, ISO week and a key-derived id.
+
+    ``deals``: retailer_slug, product, prices, discount, validity, vertical, scraped_at and ``seq`` (the
+    order in which they were found); other columns are taken when present. Rows without a required
+    value are left out, as a failing insert is. The id depends on the key alone, so a task that is run
+    again gives the same id.
+    """
+    return keyed_rows(deals, as_of).withColumn("promo_type", _promo_type()).select(*COLUMNS, "seq")
 
 
 def accepted_rows(rows: DataFrame) -> DataFrame:
@@ -91,27 +104,36 @@ def accepted_rows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("retailer_slug").agg(F.count(F.lit(1)).alias("accepted"))
 
 
+def first_and_last(rows: DataFrame, first: list, last: list) -> DataFrame:
+    """One row per id: the kept columns of its first row by ``first``, the other ones of its last row by ``last``.
+
+    Spark cuts each map partition to one row per id before the shuffle (window group limit), so copies of one product,
+    however many, do not meet in one task. Both sides come out dealt and sorted by id, so their join moves nothing.
+    """
+    by_id = Window.partitionBy("id")
+
+    def one(frame: DataFrame, order: list) -> DataFrame:
+        return frame.withColumn("_n", F.row_number().over(by_id.orderBy(*order))).filter("_n = 1").drop("_n")
+
+    opening = one(rows, first).select("id", *[c for c in KEPT if c != "id"])
+    return one(rows, last).drop(*[c for c in KEPT if c != "id"]).join(opening, "id")
+
+
 def upsert_products(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
     """``existing`` after inserting ``batch`` (product rows with ``seq``) in order of ``seq``.
 
-    One aggregate over the key: the first row of a key gives the kept columns, the last one the
-    updated columns. Partial aggregation reduces the copies of a key before the shuffle.
+    The first row of an id gives the kept columns, the last one the updated columns; rows of one ``seq`` stand in the
+    order of a hash. Rows of ``batch`` may come without a promotion type; then only those kept are given one.
     """
-    rows = batch.withColumn("_side", F.lit(1))
+    rows = _with_missing(batch, {"promo_type": "string"}).withColumn("_side", F.lit(1))
     if existing is not None:
         stored = existing.select(*COLUMNS).withColumn("seq", F.lit(0).cast("bigint")).withColumn("_side", F.lit(0))
         rows = stored.unionByName(rows)
-    rows = rows.withColumn("promo_key", _promo_key())
-    turn = F.struct("_side", "seq")
-    merged = rows.groupBy(*KEY, *PARTITIONS).agg(
-        F.min_by(F.struct(*KEPT), turn).alias("kept"), F.max_by(F.struct(*UPDATED), turn).alias("updated")
-    )
-    return merged.select("*", "kept.*", "updated.*").select(*COLUMNS)
-
-
-def touched_partitions(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """The part of ``existing`` in the weeks that ``batch`` writes to; the other weeks stay as they are."""
-    return existing.join(batch.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
+    tie = F.xxhash64(*[c for c in COLUMNS if c != "promo_type"])
+    rows = rows.withColumn("_price", F.col("promo_price"))
+    merged = first_and_last(rows, ["_side", "seq", tie], [F.desc("_side"), F.desc("seq"), tie.desc()])
+    found = infer_promo_type(F.col("discount_label"), F.col("product_name"), F.col("_price"))
+    return merged.withColumn("promo_type", F.coalesce("promo_type", found)).select(*COLUMNS)
 
 
 def products_by_retailer(products: DataFrame, slug: str, week=None, year=None, limit=500) -> DataFrame:

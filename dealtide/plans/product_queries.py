@@ -45,7 +45,7 @@ SHOWN = [
 
 
 def history(t):
-    return pr.upsert_products(None, pr.product_rows(t.raw_deals, NOW))
+    return pr.upsert_products(None, pr.keyed_rows(t.raw_deals, NOW))
 
 
 @query("infer_promo_type", f"SELECT seq, retailer_slug, product, {PROMO_TYPE_SQL} AS promo_type FROM raw_deals")
@@ -103,13 +103,13 @@ def upsert(t):
         .withColumn("retailer_name", F.lit("ignored"))
         .withColumn("scraped_at", F.col("scraped_at") + F.expr("INTERVAL 1 DAY"))
     )
-    merged = pr.upsert_products(history(t), pr.product_rows(again, "2001-10-02 00:00:00"))
+    merged = pr.upsert_products(history(t), pr.keyed_rows(again, "2001-10-02 00:00:00"))
     return merged.select(*SHOWN, "retailer_name", "created_at", "updated_at")
 
 
 @query("accepted_rows", "SELECT retailer_slug, count(*) AS accepted FROM raw_deals GROUP BY retailer_slug")
 def accepted(t):
-    return pr.accepted_rows(pr.product_rows(t.raw_deals, NOW))
+    return pr.accepted_rows(pr.keyed_rows(t.raw_deals, NOW))
 
 
 # The id that breaks ties is derived from the key, so the SQL orders by the key itself and keeps ties whole.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as ev
 from ..sources import sinks
+from ..sources.tables import read_products
 from ..streaming import events as se
 from ..streaming import upserts as su
 from ..streaming.folders import run_folder
@@ -73,8 +74,8 @@ def stream_upsert_products(t):
     work = run_folder(t.spark, "products")
     t.part.createOrReplaceTempView("part")
     deals = _stream(t, "lineitem", "raw_deals").withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
-    _finish(su.start_product_upserts(deals, f"{work}/table", f"{work}/staging", f"{work}/progress", "2001-10-01 00:00:00"))
-    stored = t.spark.read.parquet(f"{work}/table").select(*SHOWN)
+    _finish(su.start_product_upserts(deals, f"{work}/table", f"{work}/progress", "2001-10-01 00:00:00"))
+    stored = read_products(t.spark, f"{work}/table").select(*SHOWN)
     return stored.withColumn("scraped_at", F.col("scraped_at").cast("timestamp_ntz"))
 
 

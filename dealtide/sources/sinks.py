@@ -1,4 +1,4 @@
-"""Writers: documents, health manifest, event export and the event and product tables."""
+"""Writers: documents, health manifest, event export and the event table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators.events import EXPORT_COLUMNS, events_for_export
 from ..operators.health import health_summary
-from ..operators.products import PARTITIONS
 
 
 def documents_to_write(docs: DataFrame) -> DataFrame:
@@ -91,15 +90,3 @@ def append_events(events: DataFrame, path: str, files_per_day: int = 8) -> None:
     rows = stored_events(events)
     rows = rows.repartition("event_date", F.pmod(F.xxhash64(*events.columns), F.lit(files_per_day)))
     rows.write.mode("append").partitionBy("event_date").parquet(path)
-
-
-def write_products(products: DataFrame, path: str) -> None:
-    """Product rows into the weeks they belong to; weeks not among them stay as they are."""
-    (
-        products.repartition(*PARTITIONS, "vertical", "retailer_slug")
-        .sortWithinPartitions("retailer_slug", "product_name")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,12 +10,8 @@ from ..params import shared_folder
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A folder for one stream below the shared folder the cluster names.
-
-    Only a local session without one, as in tests, falls back to a temporary folder.
-    """
-    local = spark.sparkContext.master.startswith("local")
-    fallback = tempfile.mkdtemp(prefix="spark-") if local else None
+    """A folder for one stream below the shared folder the cluster names; without one, as in tests, below the warehouse's."""
+    fallback = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
     return f"{shared_folder(spark, fallback).rstrip('/')}/dealtide/{name}"
 
 
@@ -30,6 +25,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def create(spark: SparkSession, path: str) -> None:
+    """An empty file at ``path``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True).close()
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match ``pattern``, in order."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return sorted(str(status.getPath().toString()) for status in found or [])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete what this library wrote at ``path``, if it is there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -94,14 +94,14 @@ def test_product_stream_equals_batch(spark, tmp_path):
     parts = [[row("A", 1, 5.0, 1), row("B", 8, 5.0, 2)], [row("A", 1, 6.0, 3), row("C", 1, 5.0, 4)], [row("A", 1, 7.0, 5)]]
     stream = batches(spark, tmp_path / "in", schema, *parts)
     table = str(tmp_path / "table")
-    su.start_product_upserts(stream, table, str(tmp_path / "staging"), str(tmp_path / "cp"), "2024-01-01").awaitTermination()
+    su.start_product_upserts(stream, table, str(tmp_path / "cp"), "2024-01-01").awaitTermination()
     want = products.upsert_products(None, products.product_rows(spark.read.schema(schema).parquet(str(tmp_path / "in")), "2024-01-01"))
     shown = ["id", "product_name", "original_price", "promo_price", "year", "week_number"]
     got = sorted(map(tuple, read_products(spark, table).select(*shown).collect()))
     assert got == sorted(map(tuple, want.select(*shown).collect())) and len(got) == 3
-    # A batch that is run again publishes its staged rows and changes nothing.
+    # A batch that is run again changes nothing.
     again = spark.createDataFrame(parts[2], schema)
-    su.upsert_products_batch(again, 2, table, str(tmp_path / "staging"), "2024-01-01")
+    su.upsert_products_batch(again, 2, table, "2024-01-01")
     assert sorted(map(tuple, read_products(spark, table).select(*shown).collect())) == got
 
 
