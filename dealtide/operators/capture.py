@@ -276,8 +276,8 @@ def set_query_value(url: Column, key: str, value: Column) -> Column:
     return F.when(there, replaced).otherwise(F.concat(base, joint, F.lit(key + "="), value, tail))
 
 
-def viewer_page_urls(embeds: DataFrame, max_pages: int) -> DataFrame:
-    """The URL of each page of a viewer, from page 1 to ``max_pages``; a URL does not tell how many it has. ``embeds``: url and more; other URLs give none."""
+def viewer_page_urls(embeds: DataFrame, pages: int | Column) -> DataFrame:
+    """The URL of each page of a viewer, from page 1 to ``pages``, as a URL does not tell how many it has; at least one. ``embeds``: url and more; other URLs give none."""
     url, page = F.col("url"), F.col("page").cast("string")
     path = F.regexp_extract(url, r"^([^?#]*)", 1)
     rest = F.regexp_extract(url, r"^[^?#]*(.*)\z", 1)
@@ -290,5 +290,5 @@ def viewer_page_urls(embeds: DataFrame, max_pages: int) -> DataFrame:
         .when(F.contains(url, F.lit("e.issuu.com/embed.html")), set_query_value(url, "pageNumber", page))
         .when(F.contains(url, F.lit("view.publitas.com/")), F.when(F.contains(path, F.lit("/page/")), turned).otherwise(asked))
     )
-    rows = embeds.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(max(1, max_pages)))))
+    rows = embeds.withColumn("page", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.lit(pages) if isinstance(pages, int) else pages))))
     return rows.withColumn("page_url", page_url).filter(F.col("page_url").isNotNull())

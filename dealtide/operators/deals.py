@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import unnest
 from ..functions.text import present, strip
-from ..params import settled
-
-DEAL_COLUMNS = ["retailer_slug", "product", "original_price", "promo_price", "discount"]
 
 
 def deal_key(product: str = "product") -> list[Column]:
@@ -29,26 +26,28 @@ def deduplicate_deals(deals: DataFrame, order: list[str]) -> DataFrame:
     return deals.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") == 1).drop("_n")
 
 
-def _without(later: DataFrame, *earlier: DataFrame) -> DataFrame:
-    """Rows of retailers that no earlier stage has deals for."""
-    served = reduce(DataFrame.unionAll, [stage.select("retailer_slug") for stage in earlier]).distinct()
-    return later.join(served, "retailer_slug", "left_anti")
+PAGE_TEXT_STAGE = 2
+
+
+def least_stage(deals: DataFrame) -> DataFrame:
+    """The rows of ``deals`` (retailer_slug, stage, page_no, …) that are of the least stage of their retailer, of page text those of its least page.
+
+    Each row is computed and moved once: Spark drops what cannot be of the least stage in each map partition before
+    the shuffle (window group limit).
+    """
+    page = F.when(F.col("stage") == PAGE_TEXT_STAGE, F.col("page_no"))
+    first = Window.partitionBy("retailer_slug").orderBy("stage", page)
+    return deals.withColumn("_rank", F.rank().over(first)).filter("_rank = 1").drop("_rank")
 
 
 def extraction_fallback(primary: DataFrame, pdf_text: DataFrame, page_text: DataFrame) -> DataFrame:
     """All primary deals; text of the pdf only for retailers without any; page text only for those still
     without, and of it only the first page that has deals.
 
-    Every stage has retailer_slug, method, page_no and the deal columns. Pass the stages unevaluated: each
-    is computed once, into the checkpoint folder, and the anti joins keep the cost of the later ones to
-    the retailers that need them.
+    Every stage has retailer_slug, method, page_no and columns of deals, which are all kept; what a stage lacks is null.
     """
-    columns = ["retailer_slug", "method", "page_no", *DEAL_COLUMNS[1:]]
-    first = settled(primary.select(*columns))
-    second = settled(_without(pdf_text, first).select(*columns))
-    third = settled(_without(page_text, first, second).select(*columns))
-    opening = third.groupBy("retailer_slug").agg(F.min("page_no").alias("page_no"))
-    return first.unionAll(second).unionAll(third.join(opening, ["retailer_slug", "page_no"], "left_semi").select(*columns))
+    stages = [frame.withColumn("stage", F.lit(n)) for n, frame in enumerate((primary, pdf_text, page_text))]
+    return least_stage(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stages)).drop("stage")
 
 
 def extraction_methods(deals: DataFrame, rank: dict[str, int]) -> DataFrame:

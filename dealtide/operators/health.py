@@ -90,11 +90,11 @@ def validate_docs(docs: DataFrame) -> DataFrame:
     return unnest(docs, ["slug"], document_issues(), "issue").select("slug", "issue.*")
 
 
-def run_status(attempts: DataFrame, docs: DataFrame, as_of, allowed: int | None = ATTEMPTS, allowed_if_expired: int | None = ATTEMPTS_IF_EXPIRED) -> DataFrame:
+def run_status(attempts: DataFrame, docs: DataFrame, as_of, allowed: int | None = None, allowed_if_expired: int | None = None) -> DataFrame:
     """Outcome of each run and retailer from its attempts.
 
-    ``attempts``: run_id, slug, attempt (from 1), ok, error. The first ``allowed`` attempts count, or
-    ``allowed_if_expired`` for a retailer whose first leaflet has expired; None counts all. After the last failure
+    ``attempts``: run_id, slug, attempt (from 1), ok, error. All attempts count, or the first ``allowed``, and
+    ``allowed_if_expired`` for a retailer whose first leaflet has expired. After the last failure
     usable local data serve, stale past a week.
     """
     now = clock(as_of)

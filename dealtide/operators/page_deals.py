@@ -210,7 +210,7 @@ def _card_name(text: Column, length: int | None) -> Column:
 
 
 def page_text_deals(
-    pages: DataFrame, shortest: int | None = 15, longest: int | None = 300, above: float | None = 0.01, below: float | None = None,
+    pages: DataFrame, shortest: int | None = None, longest: int | None = None, above: float | None = None, below: float | None = None,
     key_length: int | None = None, name_length: int | None = None,
 ) -> DataFrame:
     """Deals from card texts with a euro price, one per name in a page.

@@ -155,8 +155,8 @@ def text_deals(docs: DataFrame) -> DataFrame:
     )
 
 
-def catalogue_gate(pages: DataFrame, by: list[str], max_pages: int | None = MAX_PAGES) -> DataFrame:
-    """Documents that look like a catalogue: at least two euro prices in their first ``max_pages`` pages, or in all for None.
+def catalogue_gate(pages: DataFrame, by: list[str], max_pages: int | None = None) -> DataFrame:
+    """Documents that look like a catalogue: at least two euro prices in all their pages, or in the first ``max_pages``.
 
     ``pages``: the ``by`` columns, page_no (unique in a document) and text. Pages past the last one are
     dropped before the shuffle, and copies of a page are reduced to one before pages are listed.

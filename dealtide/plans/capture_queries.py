@@ -205,7 +205,7 @@ def probe_fingerprint(t):
     f"""WITH {CAPTURES_SQL}, c AS (SELECT r.slug, r.name, CASE WHEN r.category = 'drogist' THEN 'Drogist folder' END AS folder_title, coalesce(k.publitas, k.ipaper, k.yumpu, k.issuu) AS embed_url,
             CASE WHEN k.publitas IS NOT NULL THEN 'publitas' WHEN k.ipaper IS NOT NULL THEN 'ipaper' WHEN k.yumpu IS NOT NULL THEN 'yumpu' WHEN k.issuu IS NOT NULL THEN 'issuu' END AS embed_kind, k.pdf AS pdf_url,
             list_contains(r.verticals, 'pet') AS offline, r.category <> 'discounter' AS embeddable FROM retailers r LEFT JOIN captures k ON k.retailer_slug = r.slug),
-          s AS (SELECT retailer_slug AS slug, count(*) AS n, min(page) AS opening FROM (SELECT DISTINCT 's' || (o_custkey % 50) AS retailer_slug, CAST(o_orderkey % 15 + 1 AS INTEGER) AS page FROM orders WHERE o_orderstatus = 'P') WHERE page <= 12 GROUP BY 1)
+          s AS (SELECT retailer_slug AS slug, count(*) AS n, min(page) AS opening FROM (SELECT DISTINCT 's' || (o_custkey % 50) AS retailer_slug, CAST(o_orderkey % 15 + 1 AS INTEGER) AS page FROM orders WHERE o_orderstatus = 'P') GROUP BY 1)
         SELECT slug || '-2024-w5-folder' AS id, slug AS retailer_slug, coalesce(folder_title, name || ' folder van de week') AS title, DATE '2024-01-29' AS valid_from, DATE '2024-02-04' AS valid_until,
           CAST(coalesce(s.n, 0) AS INTEGER) AS page_count, CASE WHEN s.n > 0 THEN '/shots/' || s.opening || '.png' ELSE '' END AS thumbnail_url,
           CASE WHEN NOT (offline OR NOT embeddable OR coalesce(embed_kind = 'issuu' AND s.n > 0, false)) THEN embed_url END AS embed_url, pdf_url,
@@ -225,7 +225,7 @@ def build_folder_rows(t):
         F.concat(F.lit("s"), (F.col("o_custkey") % 50).cast("string")).alias("slug"), page.alias("page_number"),
     ).distinct()
     shots = shots.withColumn("image_url", F.concat(F.lit("/shots/"), F.col("page_number").cast("string"), F.lit(".png")))
-    return cp.build_folder_rows(rows, shots, AS_OF, max_pages=cp.MAX_PAGES).drop("pages", "scraped_at")
+    return cp.build_folder_rows(rows, shots, AS_OF).drop("pages", "scraped_at")
 
 
 WEEK_SLUGS = "CASE o_custkey % 5 WHEN 0 THEN 'albert-heijn' WHEN 1 THEN 'delhaize' WHEN 2 THEN 'aldi' WHEN 3 THEN 'lidl' ELSE 'other' END"
@@ -273,8 +273,8 @@ VIEWERS = """CASE p_partkey % 6 WHEN 0 THEN 'https://e.issuu.com/embed.html?d=x'
     f"""SELECT p_partkey, page, CASE p_partkey % 6 WHEN 0 THEN 'https://e.issuu.com/embed.html?d=x' || p_partkey || '&pageNumber=' || page WHEN 1 THEN 'https://e.issuu.com/embed.html?pageNumber=' || page || '&u=y#z'
           WHEN 2 THEN 'https://view.publitas.com/g/' || p_partkey || '/page/' || page || '?publitas_embed=embedded' WHEN 3 THEN 'https://view.publitas.com/g/h?page=' || page || '&pageNumber=' || page
           ELSE 'https://b.ipaper.io/iPaper/Papers/q' || p_partkey || '/Pages/' || page || '/Zoom.jpg?t=1' END AS page_url
-        FROM (SELECT p_partkey, CAST(unnest(range(1, 13)) AS INTEGER) AS page FROM part WHERE p_partkey % 6 < 5)""",
+        FROM (SELECT p_partkey, CAST(unnest(range(1, p_size + 1)) AS INTEGER) AS page FROM part WHERE p_partkey % 6 < 5)""",
 )
 def viewer_page_urls(t):
-    embeds = t.part.select("p_partkey", F.expr(VIEWERS).alias("url"))
-    return cp.viewer_page_urls(embeds, max_pages=cp.MAX_PAGES).select("p_partkey", "page", "page_url")
+    embeds = t.part.select("p_partkey", "p_size", F.expr(VIEWERS).alias("url"))
+    return cp.viewer_page_urls(embeds, F.col("p_size").cast("int")).select("p_partkey", "page", "page_url")

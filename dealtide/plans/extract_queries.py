@@ -118,17 +118,17 @@ def text_deals(t):
 
 
 GATE_SQL = f"""catalogues AS (SELECT * FROM (SELECT doc_id, retailer_slug, string_agg(text, chr(10) ORDER BY page_no) AS text
-    FROM leaflet_pages WHERE page_no <= 12 GROUP BY doc_id, retailer_slug) WHERE len(regexp_extract_all(text, '{EURO}')) >= 2)"""
+    FROM leaflet_pages GROUP BY doc_id, retailer_slug) WHERE len(regexp_extract_all(text, '{EURO}')) >= 2)"""
 
 
 @query("catalogue_gate", f"WITH {GATE_SQL} SELECT doc_id, retailer_slug, text FROM catalogues")
 def catalogue_gate(t):
-    return td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"], max_pages=td.MAX_PAGES)
+    return td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"])
 
 
 @query("leaflet_deals", f"WITH {GATE_SQL}, {deals_sql('catalogues')} SELECT * FROM text_deals")
 def leaflet_deals(t):
-    return td.text_deals(td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"], max_pages=td.MAX_PAGES))
+    return td.text_deals(td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"]))
 
 
 LD_SQL = """ld_deals AS (
@@ -182,21 +182,21 @@ def parse_price(t):
     return t.part.select("p_partkey", raw.alias("raw")).withColumn("price", price_of(F.col("raw")))
 
 
-# The layout of the card texts is known: which cards count is settled here by their shape. A part name
-# and its upper-case twin share a key; "a b" and "ab" would too.
+# The layout of the card texts is known: of five cards one repeats the first one's name in capitals and one is too short to name anything.
 PAGE_TEXT_SQL = """page_text AS (
     SELECT page_id, retailer_slug, 'pagetext-0' AS id, name AS product, CASE WHEN price <> 2.5 THEN greatest(price, 2.5::DOUBLE) END AS original_price,
       least(price, 2.5::DOUBLE) AS promo_price, '-10%' AS discount FROM parts
-    UNION ALL SELECT page_id, retailer_slug, 'pagetext-1', p_type || ' set 1+1', NULL, 4.0, '1+1' FROM parts),"""
+    UNION ALL SELECT page_id, retailer_slug, 'pagetext-1', p_brand || ' extra', NULL, 0.0, NULL FROM parts
+    UNION ALL SELECT page_id, retailer_slug, 'pagetext-2', p_type || ' set 1+1', 60000.0, 4.0, '1+1' FROM parts),"""
+PARTS_SQL = "parts AS (SELECT p_partkey AS page_id, 's' || (p_partkey % 60) AS retailer_slug, p_name AS name, p_brand, p_type, p_size + 0.99::DOUBLE AS price FROM part)"
 
 
 @query(
     "page_text_deals",
-    f"""WITH parts AS (SELECT p_partkey AS page_id, 's' || (p_partkey % 60) AS retailer_slug, p_name AS name, p_type, p_size + 0.99::DOUBLE AS price FROM part),
-        {PAGE_TEXT_SQL.rstrip(',')} SELECT * FROM page_text""",
+    f"""WITH {PARTS_SQL}, {PAGE_TEXT_SQL.rstrip(',')} SELECT * FROM page_text""",
 )
 def page_text_deals(t):
-    return pg.page_text_deals(t.card_texts, **pg.CARD_LIMITS)
+    return pg.page_text_deals(t.card_texts)
 
 
 @query(
@@ -211,14 +211,14 @@ def card_text_scan(t):
 def _fallback_stages(t):
     primary = pg.jsonld_deals(t.ld_pages).unionByName(pg.card_deals(t.card_pages, CARD_RULES), allowMissingColumns=True)
     primary = primary.select("*", F.lit("html").alias("method"), F.lit(0).cast("bigint").alias("page_no"))
-    leaflets = td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"], max_pages=td.MAX_PAGES)
+    leaflets = td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"])
     pdf = td.text_deals(leaflets).select("*", F.lit("pdf-text").alias("method"), F.lit(0).cast("bigint").alias("page_no"))
-    text = pg.page_text_deals(t.card_texts, **pg.CARD_LIMITS).select("*", F.lit("page-text").alias("method"), F.col("page_id").alias("page_no"))
+    text = pg.page_text_deals(t.card_texts).select("*", F.lit("page-text").alias("method"), F.col("page_id").alias("page_no"))
     return primary, pdf, text
 
 
 FALLBACK_SQL = f"""{LD_BLOCKS_SQL}, {LD_SQL}, {CARD_SQL}, {GATE_SQL}, {deals_sql('catalogues')},
-    parts AS (SELECT p_partkey AS page_id, 's' || (p_partkey % 60) AS retailer_slug, p_name AS name, p_type, p_size + 0.99::DOUBLE AS price FROM part),
+    {PARTS_SQL},
     {PAGE_TEXT_SQL}
     first_stage AS (SELECT retailer_slug, 'html' AS method, 0::BIGINT AS page_no, product, original_price, promo_price, NULL::VARCHAR AS discount FROM ld_deals
       UNION ALL SELECT retailer_slug, 'html', 0, product, original_price, promo_price, discount FROM card_deals),
@@ -232,7 +232,8 @@ FALLBACK_SQL = f"""{LD_BLOCKS_SQL}, {LD_SQL}, {CARD_SQL}, {GATE_SQL}, {deals_sql
 
 @query("extraction_fallback", f"WITH {FALLBACK_SQL} SELECT * FROM fallback")
 def extraction_fallback(t):
-    return dl.extraction_fallback(*_fallback_stages(t))
+    shown = ["retailer_slug", "method", "page_no", "product", "original_price", "promo_price", "discount"]
+    return dl.extraction_fallback(*_fallback_stages(t)).select(*shown)
 
 
 @query(

@@ -211,8 +211,7 @@ def validate_docs(t):
 
 STATUS_SQL = f"""{EXPIRY_SQL}, local AS (SELECT slug, coalesce(json_type(doc, '$.folders') = 'ARRAY', false) AS valid,
       CASE WHEN json_type(doc, '$.folders') = 'ARRAY' THEN epoch({NOW} - CAST(replace(doc ->> '$.scrapedAt', 'Z', '') AS TIMESTAMP)) / 3600.0::DOUBLE END AS age_hours FROM docs),
-  counted AS (SELECT a.*, l.valid, l.age_hours FROM attempt_log a LEFT JOIN expiry e USING (slug) LEFT JOIN local l USING (slug)
-    WHERE a.attempt <= CASE WHEN coalesce(e.expired, false) THEN 4 ELSE 3 END),
+  counted AS (SELECT a.*, l.valid, l.age_hours FROM attempt_log a LEFT JOIN local l USING (slug)),
   tried AS (SELECT run_id, slug, any_value(valid) AS valid, any_value(age_hours) AS age_hours, min(attempt) FILTER (ok) AS win, max(attempt) AS last_n,
       arg_max(error, attempt) AS last_error FROM counted GROUP BY run_id, slug),
   results AS (SELECT run_id, slug, CASE WHEN win = 1 THEN 'fresh' WHEN win > 1 THEN 'retry_success' WHEN coalesce(valid, false) AND age_hours > 168 THEN 'stale'
@@ -222,7 +221,7 @@ STATUS_SQL = f"""{EXPIRY_SQL}, local AS (SELECT slug, coalesce(json_type(doc, '$
 
 
 def results_of(t):
-    return he.run_status(t.attempt_log, docs_of(t), AS_OF, he.ATTEMPTS, he.ATTEMPTS_IF_EXPIRED)
+    return he.run_status(t.attempt_log, docs_of(t), AS_OF)
 
 
 @query("run_status", f"WITH {STATUS_SQL} SELECT * FROM results")

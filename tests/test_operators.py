@@ -49,7 +49,7 @@ def test_text_deal_ids_count_per_document(spark):
 def test_catalogue_gate_reads_twelve_pages(spark):
     rows = [("a", n, "€ 1,00" if n in (1, 13) else "-") for n in range(1, 14)] + [("b", 2, "€ 2,00"), ("b", 1, "€ 1,00")]
     pages = spark.createDataFrame(rows, "doc string, page_no int, text string")
-    got = text_deals.catalogue_gate(pages, ["doc"]).collect()
+    got = text_deals.catalogue_gate(pages, ["doc"], max_pages=text_deals.MAX_PAGES).collect()
     assert [(r.doc, r.text) for r in got] == [("b", "€ 1,00\n€ 2,00")]
 
 
@@ -80,7 +80,7 @@ def test_page_text_deals_use_a_name_once(spark):
         "x" * 301 + " € 1,00", "Geen prijs in deze kaart",
     ]
     page = spark.createDataFrame([("p", cards)], "page string, cards array<string>")
-    got = page_deals.page_text_deals(page).collect()
+    got = page_deals.page_text_deals(page, **page_deals.CARD_LIMITS).collect()
     assert [(r.id, r.product, r.original_price, r.promo_price, r.discount) for r in got] == [
         ("pagetext-0", "Andere Thee   1+1", None, 4.0, "1+1")
     ]
@@ -188,7 +188,7 @@ def test_run_status(spark):
         ("e", 1, False, "1"), ("e", 2, False, "2"), ("e", 3, False, "3"), ("e", 4, True, None),
     ]
     rows = spark.createDataFrame([("r", *row) for row in log], "run_id string, slug string, attempt int, ok boolean, error string")
-    got = {r.slug: (r.status, r.attempts, r.error, r.data_age) for r in health.run_status(rows, docs, NOW).collect()}
+    got = {r.slug: (r.status, r.attempts, r.error, r.data_age) for r in health.run_status(rows, docs, NOW, health.ATTEMPTS, health.ATTEMPTS_IF_EXPIRED).collect()}
     assert got == {
         "a": ("fresh", 1, None, None), "b": ("stale", 2, "y", "15d"), "c": ("missing", 1, "z", None),
         "d": ("retry_success", 4, None, None), "e": ("fallback_local", 3, "3", "unknown age"),
