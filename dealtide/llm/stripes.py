@@ -35,7 +35,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 TERMS_OF = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
-def folded(docs: DataFrame) -> DataFrame:
+def folded(docs: DataFrame, held_bytes: int = HELD) -> DataFrame:
     """(lang, term, docs, sources, counts): the stripes of each partition of ``docs`` (text, lang, source).
 
     Nulls are empty strings. A row without a term lists the sources met in its language, so that groups without any
@@ -72,7 +72,7 @@ def folded(docs: DataFrame) -> DataFrame:
                     else:
                         by[name] = n
                         size += CELL_BYTES
-                if size > HELD:
+                if size > held_bytes:
                     yield rows(held, met)
                     held, met, size = {}, {}, 0
         if met:
@@ -165,14 +165,14 @@ def emitted(stripes: DataFrame, language: DataFrame, least: int, top: int) -> Da
     return rows.mapInArrow(run, "lang string, source string, part string, item string, value long")
 
 
-def divergences(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
+def divergences(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, held_bytes: int = HELD) -> DataFrame:
     """(lang, source, part, item, value, rank) of ``docs`` (text, lang, source).
 
     ``pair`` lists every other source of the group's language, ``term`` the ``top`` terms the group holds beyond its language's
     share; ranks by value descending, then item. Null text, lang and source are empty strings; every row counts, repeated
     ones too. Languages without kept terms have pairs of value 0; a group alone in its language has none. No rows give no rows.
     """
-    stripes = settled(merged(folded(docs)))
+    stripes = settled(merged(folded(docs, held_bytes)))
     language = settled(totals(stripes, least))
     found = settled(emitted(stripes, language, least, top))
     half = found.filter("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

@@ -112,3 +112,113 @@ def targets(sizes, weights=(1, 2, 3), repeats=3):
         if not over:
             return full | {s: left * weight[s] for s in open_}
         full |= {s: repeats * sizes[s] for s in over}
+
+
+def crc(text):
+    """The checksum bit by bit, as its polynomial defines it."""
+    value = 0xFFFFFFFF
+    for byte in text.encode():
+        value ^= byte
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value ^ 0xFFFFFFFF
+
+
+def one_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+
+def spelling(rows, shortest=6, least=5, ratio=5, dropped=199):
+    counts = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = crc(f"{'' if i is None else i}:{run}")
+            at = h % len(run)
+            counts[run[:at] + run[at + 1 :] if h % dropped == 0 else run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= shortest and n >= least}
+    near = {w: [v for v in words if v != w and abs(len(v) - len(w)) < 2 and one_apart(w, v)] for w in words}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+    result = []
+    for w in words:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        result.append((w, form[w], root, words[w], len(near[w]), words.get(form[w])))
+    return sorted(result, key=lambda r: r[0])
+
+
+def accepted_ends(template, words, start):
+    """Every end of wording of ``template`` (markup as in the operator) that starts at ``start``, by walking its parts."""
+    def parse(parts):
+        made = []
+        while parts and parts[0] != "]":
+            part = parts.pop(0)
+            if part == "[":
+                made.append(parse(parts))
+                parts.pop(0)
+            elif m := re.fullmatch(r"\{(\d+)-(\d+)\}", part):
+                made.append((int(m[1]), int(m[2])))
+            else:
+                made.append(part)
+        return made
+
+    def ends(parts, at):
+        found = {at}
+        for part in parts:
+            if isinstance(part, str):
+                found = {k + 1 for k in found if k < len(words) and words[k] == part}
+            elif isinstance(part, tuple):
+                found = {k + n for k in found for n in range(part[0], part[1] + 1) if k + n <= len(words)}
+            else:
+                found = found | {e for k in found for e in ends(part, k)}
+        return found
+
+    return ends(parse(re.findall(r"\[|\]|\{\d+-\d+\}|[^\s\[\]{}]+", template)), start)
+
+
+def license_spans(text, templates):
+    """(start, end, label) of the longest wording from each start, for each (label, template)."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    found = []
+    for start in range(len(words)):
+        for label, template in templates:
+            if template.split()[0] == words[start] and (ends := accepted_ends(template, words, start)):
+                found.append((start, max(ends), label))
+    return len(words), sorted(found)
+
+
+def divergences(rows, least=10, top=10):
+    """rows: (text, lang, source)."""
+    rows = [tuple(v or "" for v in row) for row in rows]
+    held, counts, groups = defaultdict(set), Counter(), defaultdict(set)
+    for n, (text, lang, source) in enumerate(rows):
+        groups[lang].add(source)
+        for term in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(LOWER)):
+            held[lang, term].add(n)
+            counts[lang, source, term] += 1
+    result = []
+    for lang, sources in groups.items():
+        kept = [t for la, t in held if la == lang and len(held[la, t]) >= least]
+        size = len(kept)
+
+        def shares(names):
+            total = sum(counts[lang, s, t] for s in names for t in kept)
+            return {t: 1 + 1_000_000_000 * (sum(counts[lang, s, t] for s in names) + 2) // (total + 2 * size) for t in kept}
+
+        part = {s: shares([s]) for s in sources}
+        q = shares(sources)
+        gap = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pairs = [(o, sum(gap(part[s][t], part[o][t]) for t in kept)) for o in sources if o != s]
+            terms = [(t, gap(part[s][t], q[t])) for t in kept if counts[lang, s, t] and part[s][t] > q[t]]
+            for name, listed, most in (("pair", pairs, None), ("term", terms, top)):
+                ordered = sorted(listed, key=lambda x: (-x[1], x[0].encode()))[:most]
+                result += [(lang, s, name, item, value, rank) for rank, (item, value) in enumerate(ordered, 1)]
+    return sorted(result)
