@@ -8,6 +8,9 @@ from ..functions.dates import iso_week, iso_week_year
 from ..functions.promo import infer_promo_type
 from ..operators import deals as dl
 from ..operators import products as pr
+from ..sources import product_index, product_store
+from ..sources.tables import read_products
+from ..streaming.folders import run_folder
 from .registry import query
 
 # The deals end in 2001: the clock of these queries stands inside their last months.
@@ -166,6 +169,20 @@ def search(t):
     return pr.search_products(history(t), "Sm_LL%brand#1", NOW, vertical="general", limit=1000).select(*SHOWN)
 
 
+@query(
+    "search_products_indexed",
+    f"""WITH {KEYED_SQL} SELECT * FROM products
+        WHERE (lower(product_name) LIKE '%sm_ll%brand#1%' OR lower(description) LIKE '%sm_ll%brand#1%') AND valid_until >= DATE '2001-10-01' AND vertical = 'general'""",
+)
+def search_indexed(t):
+    """The history is stored and indexed, then searched by its index."""
+    work = run_folder(t.spark, "search")
+    product_store.append_version(pr.keyed_rows(t.raw_deals, NOW), f"{work}/products", 0)
+    products = read_products(t.spark, f"{work}/products")
+    product_index.append_postings(products, f"{work}/index", 0)
+    return product_index.search_indexed(t.spark, f"{work}/products", f"{work}/index", "Sm_LL%brand#1", NOW, vertical="general", limit=1000).select(*SHOWN)
+
+
 @query(
     "deduplicate_deals",
     """SELECT retailer_slug, product, promo_price, original_price, discount, seq FROM raw_deals

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import unnest
+from .document_store import read_documents
 
 # Columns of a parsed document.
 DOC_COLUMNS = [
@@ -19,8 +20,7 @@ def read_folder_docs(spark: SparkSession, path: str, layout: str = "files") -> D
     ``layout`` is ``files`` for one JSON file per retailer, named by its slug, or ``written`` for what ``write_folder_docs`` leaves.
     """
     if layout == "written":
-        stored = spark.read.text(path, wholetext=True)
-        return stored.select(F.col("slug").cast("string").alias("slug"), F.regexp_replace("value", r"\n\z", "").alias("raw"))
+        return read_documents(spark, path)
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
     slug = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     return files.select(slug.alias("slug"), F.col("value").alias("raw"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.events import EXPORT_COLUMNS, events_for_export
 from ..operators.health import health_summary
+from .document_store import write_documents
+from .event_store import append_events, stored_events  # noqa: F401
 
 
 def documents_to_write(docs: DataFrame) -> DataFrame:
@@ -19,14 +21,8 @@ def documents_to_write(docs: DataFrame) -> DataFrame:
 
 
 def write_folder_docs(docs: DataFrame, path: str) -> None:
-    """One text per retailer in a folder of its own; retailers without a new document keep theirs."""
-    (
-        documents_to_write(docs)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("slug")
-        .text(path)
-    )
+    """Documents with content that have changed, into the document store at ``path``; retailers without a new document keep theirs."""
+    write_documents(documents_to_write(docs), path)
 
 
 def write_health_manifest(entries: DataFrame, path: str, generated_at: str) -> None:
@@ -62,31 +58,14 @@ def csv_line(columns: list[str]) -> Column:
 
 
 def export_events_csv(events: DataFrame, path: str, as_of, **filters) -> None:
-    """The export of ``events_for_export`` as one CSV file with a header; it never has more than 50,000 rows."""
-    (
-        export_rows(events_for_export(events, as_of, **filters))
-        .coalesce(1)
-        .write.mode("overwrite")
-        .options(
-            header="true", quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace="false",
-            ignoreTrailingWhiteSpace="false",
-        )
-        .csv(path)
-    )
-
-
-def stored_events(events: DataFrame) -> DataFrame:
-    """Events as stored rows: an id of their own, the time of arrival where they have none, their day."""
-    rows = events
-    if "created_at" not in rows.columns:
-        rows = rows.withColumn("created_at", F.current_timestamp())
-    if "id" not in rows.columns:
-        rows = rows.withColumn("id", F.expr("uuid()"))
-    return rows.withColumn("event_date", F.to_date("created_at"))
-
-
-def append_events(events: DataFrame, path: str, files_per_day: int = 8) -> None:
-    """Events into their days, each day in up to ``files_per_day`` files, however many tasks made them."""
-    rows = stored_events(events)
-    rows = rows.repartition("event_date", F.pmod(F.xxhash64(*events.columns), F.lit(files_per_day)))
-    rows.write.mode("append").partitionBy("event_date").parquet(path)
+    """The export of ``events_for_export`` as CSV lines, newest first over the parts below ``parts``; ``manifest`` names columns and rows.
+
+    The rows are dealt to the parts by ranges of their order, so no task holds all of them; the header line stands in the
+    manifest once, and the parts one after another are the export.
+    """
+    rows = events_for_export(events, as_of, **filters)
+    shown = rows.withColumn("_at", F.col("created_at")).withColumn("created_at", instant_text(F.col("created_at")))
+    lines = shown.orderBy(F.desc("_at"), F.desc("id")).select(csv_line(EXPORT_COLUMNS).alias("value"))
+    lines.write.mode("overwrite").text(f"{path}/parts")
+    header = F.lit(",".join(EXPORT_COLUMNS)).alias("header")
+    events_for_export(events, as_of, **filters).agg(F.count("*").alias("rows")).select(header, "rows").write.mode("overwrite").json(f"{path}/manifest")

@@ -8,6 +8,7 @@ from dealtide.operators import events as ev
 from dealtide.operators.changes import upsert_fingerprints
 from dealtide.operators.ingest import attribution_events
 from dealtide.sources.sinks import append_events
+from dealtide.sources.tables import read_events
 
 AS_OF = "2026-03-10 12:00:00"
 
@@ -21,8 +22,8 @@ def stored(spark, tmp_path_factory):
         for n in range(2200)
     ]
     columns = "id long, created_at timestamp, event_name string, path string, retailer string, destination_url string, utm_source string, utm_medium string, utm_campaign string, utm_content string, user_agent string, referrer string"
-    append_events(spark.createDataFrame(rows, columns), path, files_per_day=2)
-    return spark.read.parquet(path)
+    append_events(spark.createDataFrame(rows, columns), path)
+    return read_events(spark, path)
 
 
 @pytest.mark.parametrize("build", [
