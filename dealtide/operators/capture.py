@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import at_first, unnest
 from ..functions.dates import folder_id, iso_week, iso_week_year, week_dates, week_start
+from ..functions.links import INSIDE, anchors, attribute, frames, visible
+from ..functions.links import resolved as resolve_url  # noqa: F401
 from ..functions.text import any_of, first_match, present
 from ..functions.urls import (
     API_WORDS, FOLDER_WORDS, PUBLITAS_EXCLUDED, TRACKING_WORDS, VIEWER_FRAMES, embed_source, normalize_embed_url,
@@ -31,9 +33,6 @@ WEEK_URLS = {
 }
 RANGE_URLS = {"lidl": "https://folder-nl.lidl.be/nl-folder-{from}-{until}"}
 
-_QUOTED = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-
-
 def bucket_responses(responses: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
     """Captured URLs by kind; a URL may be of several kinds and counts once per kind and capture.
 
@@ -79,40 +78,9 @@ def first_captures(buckets: DataFrame, by: list[str], order: str = "seq") -> Dat
     )
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in the text of a tag, null when absent or empty."""
-    pattern = rf"(?is)[\s\"']{name}{_QUOTED}"
-    return F.nullif(F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)]), F.lit(""))
-
-
-def resolve_url(base: Column, link: Column) -> Column:
-    """``link`` as seen from the page at ``base``."""
-    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    page = F.regexp_extract(base, r"^([^?#]*)", 1)
-    folder = F.when(page == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(page, r"^(.*/)", 1))
-    return (
-        F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
-        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, r"^([^:]*:)", 1), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
-        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), link))
-        .when(F.startswith(link, F.lit("?")), F.concat(page, link))
-        .otherwise(F.concat(folder, link))
-    )
-
-
 def page_links(html: Column, base: Column) -> Column:
-    """The links of a page in order, as (href, text); texts without tags."""
-    pattern = F.lit(r"(?is)<a(\s[^>]*)>(.*?)</a\s*>")
-    tags = F.regexp_extract_all(html, pattern, F.lit(1))
-    texts = F.regexp_extract_all(html, pattern, F.lit(2))
-    links = F.transform(
-        F.arrays_zip(tags.alias("tag"), texts.alias("text")),
-        lambda a: F.struct(_attribute(a["tag"], "href").alias("href"), F.regexp_replace(a["text"], "<[^>]*>", "").alias("text")),
-    )
-    return F.transform(
-        F.filter(links, lambda a: a["href"].isNotNull()),
-        lambda a: F.struct(resolve_url(base, a["href"]).alias("href"), a["text"].alias("text")),
-    )
+    """The links of a page in order, as (href, text), as a browser shows them."""
+    return anchors(html, base)
 
 
 def with_links(pages: DataFrame) -> DataFrame:
@@ -140,17 +108,16 @@ def pick_folder_link(pages: DataFrame, patterns: DataFrame | None = None) -> Dat
 
 def page_frames(html: Column, base: Column) -> Column:
     """Sources of the frames of a page, in order."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<iframe(\s[^>]*)>"), F.lit(1))
-    sources = F.transform(tags, lambda tag: _attribute(tag, "src"))
-    return F.transform(F.filter(sources, lambda s: s.isNotNull()), lambda s: resolve_url(base, s))
+    return frames(html, base)
 
 
 def data_embed(html: Column) -> Column:
     """Embed URL in a data attribute: the first element with the first attribute that occurs decides."""
     found = F.lit(None).cast("string")
     for name in reversed(DATA_ATTRIBUTES):
-        tag = first_match(html, rf"(?is)<[a-z][^>]*[\s\"']{name}(?=[\s=>/])[^>]*>")
-        value = F.coalesce(*[_attribute(tag, other) for other in DATA_ATTRIBUTES])
+        tag = first_match(html, rf"(?is)<[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*?[\s\"']{name}(?=[\s=>/]){INSIDE}>")
+        tag_inside = F.regexp_replace(tag, r"^<[^\s/>]+|>\z", "")
+        value = F.coalesce(*[attribute(tag_inside, other) for other in DATA_ATTRIBUTES])
         found = F.when(tag.isNotNull(), value).otherwise(found)
     return found
 
@@ -161,9 +128,8 @@ def pick_embed(pages: DataFrame, captures: DataFrame, by: list[str]) -> DataFram
 
     ``pages``: the ``by`` columns, url, html; ``captures``: ``first_captures``.
     """
-    framed = pages.join(captures.select(*by, "publitas", "ipaper", "yumpu", "issuu"), by, "left").withColumn(
-        "_frames", page_frames(F.col("html"), F.col("url"))
-    )
+    # what the html says is taken before the join, so that it need not be moved
+    said = pages.withColumn("_frames", page_frames(F.col("html"), F.col("url"))).withColumn("_data", data_embed(visible(F.col("html"))))
     frames = F.col("_frames")
     viewer = at_first(lambda s: any_of(s, VIEWER_FRAMES), frames)
     other = at_first(lambda s: F.startswith(s, F.lit("http")) & ~any_of(s, TRACKING_WORDS), frames)
@@ -171,7 +137,8 @@ def pick_embed(pages: DataFrame, captures: DataFrame, by: list[str]) -> DataFram
     def embed(url: Column, kind: Column) -> Column:
         return F.when(url.isNotNull(), F.struct(url.alias("url"), kind.alias("kind")))
 
-    staged = framed.withColumn("_frame", F.coalesce(viewer, other)).withColumn("_data", data_embed(F.col("html")))
+    said = said.withColumn("_frame", F.coalesce(viewer, other)).drop("_frames")
+    staged = said.join(captures.select(*by, "publitas", "ipaper", "yumpu", "issuu"), by, "left")
     frame, publitas, data = F.col("_frame"), F.col("publitas"), F.col("_data")
     choice = F.coalesce(
         embed(normalize_embed_url(frame, embed_source(frame)), embed_source(frame)),
@@ -181,21 +148,22 @@ def pick_embed(pages: DataFrame, captures: DataFrame, by: list[str]) -> DataFram
     )
     picked = staged.withColumn("_embed", choice)
     return picked.withColumns({"embed_url": F.col("_embed.url"), "embed_kind": F.col("_embed.kind")}).drop(
-        "_embed", "_frame", "_frames", "_data", "publitas", "ipaper", "yumpu", "issuu"
+        "_embed", "_frame", "_data", "publitas", "ipaper", "yumpu", "issuu"
     )
 
 
 def pick_pdf(pages: DataFrame, captures: DataFrame, by: list[str]) -> DataFrame:
     """The pdf of the leaflet: captured, else the first pdf link, else a download link that names a pdf."""
-    joined = pages.join(captures.select(*by, "pdf"), by, "left")
-
     def download(link: Column) -> Column:
         text = F.lower(link["text"])
         return F.contains(text, F.lit("download")) & F.contains(text, F.lit("pdf")) & F.startswith(link["href"], F.lit("http"))
 
     file = at_first(lambda link: link["href"].rlike(PDF_HREF), F.col("links"))["href"]
     named = at_first(download, F.col("links"))["href"]
-    return joined.withColumn("pdf_url", F.coalesce(F.col("pdf"), file, named)).drop("pdf")
+    # one address is moved instead of all links
+    said = pages.withColumn("_said", F.coalesce(file, named))
+    joined = said.join(captures.select(*by, "pdf"), by, "left")
+    return joined.withColumn("pdf_url", F.coalesce("pdf", "_said")).drop("pdf", "_said")
 
 
 def build_folder_rows(captures: DataFrame, screenshots: DataFrame, as_of, max_pages: int | None = None) -> DataFrame:

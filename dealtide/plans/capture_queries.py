@@ -100,12 +100,14 @@ def is_embeddable(t):
     return t.responses.select("page_id", ok.alias("embeddable"))
 
 
-# Links of the test pages, in SQL: every anchor with a double-quoted href.
+# Links of the test pages, in SQL: every anchor with a double-quoted href; browsers show letters beyond ASCII percent-encoded.
 LINKS_SQL = """tags AS (SELECT page_id, 's' || (page_id % 20) AS retailer_slug, url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a\\s*>')) AS tag,
       generate_subscripts(regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a\\s*>'), 1) AS pos FROM pages),
   anchors AS (SELECT page_id, retailer_slug, pos, regexp_extract(tag, 'href="([^"]*)"', 1) AS raw, lower(regexp_replace(regexp_replace(tag, '(?is)^<a\\s[^>]*>|</a\\s*>$', '', 'g'), '<[^>]*>', '', 'g')) AS text,
       regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_extract(url, '^([^?#]*/)', 1) AS folder FROM tags),
-  links AS (SELECT page_id, retailer_slug, pos, text, CASE WHEN regexp_matches(raw, '^[a-z]+:') THEN raw WHEN starts_with(raw, '/') THEN origin || raw ELSE folder || raw END AS href FROM anchors WHERE raw <> '')"""
+  links AS (SELECT page_id, retailer_slug, pos, text, array_to_string(list_transform(string_split(
+      CASE WHEN regexp_matches(raw, '^[a-z]+:') THEN raw WHEN starts_with(raw, '/') THEN origin || raw ELSE folder || raw END, ''),
+      lambda c: CASE WHEN ord(c) > 126 THEN url_encode(c) ELSE c END), '') AS href FROM anchors WHERE raw <> '')"""
 
 
 def pages_of(t):
