@@ -62,11 +62,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = RE
     A source's documents stand in an order shuffled by a hash of their ids, the stream is read up to ``repeats`` times, and
     it ends at the target: ``taken`` is what of a document lies before that end over all passes, so at most one document of
     a source is cut. ``position`` is when its first pass is due, null if nothing is taken;
-    ``passes`` lists when each pass is due. ``row_key`` is a hash of doc_id, text and source. Null texts have size 0. A
+    ``passes`` lists when each pass is due. ``row_key`` is a hash of all columns. Null texts have size 0. A
     null source is a source. Repeated rows each count. Equal inputs give equal results. Prefix sums run over (source, hash
     bucket), so a source with a third of all rows is spread over all tasks.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", "source").alias("row_key"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(*docs.columns).alias("row_key"))
     rows = once(rows, size=F.col("size"), row_key=F.col("row_key"), _key=F.xxhash64("doc_id", F.lit(seed)))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
     buckets = 4 * partitions(docs.sparkSession)
@@ -102,11 +102,10 @@ def taken_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: i
     # of equal rows each has passes of its own; together they are what one row of the key stands for
     mixed = mixed.groupBy("row_key").agg(F.flatten(F.collect_list("passes")).alias("passes"))
     passes = mixed.select(F.col("row_key").alias("_key"), F.explode("passes").alias("_at"))
-    rows = docs.withColumn("_own", F.xxhash64("doc_id", "text", "source"))
-    own = [F.col(c) for c in docs.columns]
-    rows = rows.dropDuplicates(["_own"]).join(passes, F.col("_own") == F.col("_key")).select(*own, "_at")
-    order = ["_at", "doc_id"]
-    return rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(*docs.columns).alias("_own"))  # no name of the input can clash
+    rows = rows.dropDuplicates(["_own"]).join(passes, F.col("_own") == F.col("_key")).select("_row", "_at")
+    order = [F.col("_at"), F.col("_row.doc_id")]
+    return rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("_row.*")
 
 
 @query("op7_curriculum_mix")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import components, documents, once, settled, star_links
 from .registry import query
 
-#: Characters of a shingle in the queries, and where a caller names none; a shorter line is one shingle.
-SHINGLE, LONG_SHINGLE = 5, 9
+#: Characters of a shingle; a shorter line is one shingle.
+SHINGLE = 5
 PERCENT = 80
 #: Bands of a signature and values of a band. A pair at the threshold shares a band with probability 0.999.
 BANDS, ROWS = 10, 3
@@ -57,30 +57,36 @@ def shingle_set(line: str, size: int) -> Column:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (sid, shingles in ``texts``) are alike to ``percent``."""
-    left = texts.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
-    right = texts.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    """The pairs (a, b) whose lines (sid, line in ``texts``) have shingle sets alike to ``percent``. Sets are built where a pair is looked at."""
+    left = texts.select(F.col("sid").alias("a"), F.col("line").alias("la"))
+    right = texts.select(F.col("sid").alias("b"), F.col("line").alias("lb"))
+    both = once(pairs.join(left, "a").join(right, "b"), la=points(F.col("la")), lb=points(F.col("lb")))
+    both = once(both.select("a", "b", "la", "lb"), sa=shingle_set("la", size), sb=shingle_set("lb", size))
+    both = once(both.select("a", "b", "sa", "sb"), common=F.size(F.array_intersect("sa", "sb")))
     return both.filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def deduplicated(docs: DataFrame, size: int = LONG_SHINGLE, percent: int = PERCENT) -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` (doc_id, text, any others) with ``text`` less its dropped lines, and ``n_lines`` and ``n_dropped`` in columns _n_lines and _n_dropped.
 
     Equal lines and lines whose shingle sets have a Jaccard likeness of ``percent`` or more form components, over all
     documents; the first line of a component by doc_id (null first) and place is kept, the others go. Lines are told
     apart by 64-bit hashes. Blank lines stay and are not counted. A document may lose all its lines; its row stays, with
-    an empty text. Null texts stay null. Equal rows lose the same lines. Other columns are returned as they are.
+    an empty text. Null texts stay null. Equal rows lose the same lines. Other columns are returned as they are, whatever their names;
+    only input columns _n_lines and _n_dropped give way.
     """
-    docs = once(docs, _row=F.xxhash64("doc_id", "text"))
+    columns = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
+    others = [c for c in columns if c not in ("doc_id", "text")]
+    held = F.struct(*others) if others else F.lit(None)
+    docs = once(docs.select("doc_id", "text", held.alias("_other")), _row=F.xxhash64("doc_id", "text"))
     lines = lines_of(docs.select(F.col("_row").alias("rk"), "doc_id", "text"))
     placed = settled(lines.select("rk", "doc_id", "line_no", F.xxhash64("line").alias("sid")))
     numbered = lines.select(F.xxhash64("line").alias("sid"), "line")
     entries = banded(numbered, size)
     group = Window.partitionBy("sig")
     entries = settled(entries.withColumn("least", F.min("sid").over(group)).withColumn("most", F.max("sid").over(group)).filter("least <> most").select("sig", "sid", F.lit(1).alias("n")))
-    wanted = numbered.join(entries.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
-    texts = settled(once(wanted.select("sid", points(F.col("line")).alias("body")), body=F.col("body")).select("sid", shingle_set("body", size).alias("shingles")))
+    wanted = numbered.join(entries.select("sid").distinct(), "sid", "left_semi")
+    texts = settled(wanted.distinct())
     labels = settled(components(star_links(entries, lambda pairs: similar(pairs, texts, size, percent))))
     known = placed.join(labels, placed["sid"] == labels["node"], "left").select("rk", "doc_id", "line_no", F.coalesce("component", "sid").alias("component"))
     known = settled(known)
@@ -93,10 +99,11 @@ def deduplicated(docs: DataFrame, size: int = LONG_SHINGLE, percent: int = PERCE
     text = F.array_join(F.transform("_kept", lambda n: F.get(F.col("_lines"), n)), "\n")
     visible = F.size(F.filter("_lines", lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""))
     own = {"text": F.when(F.col("_drops").isNull(), F.col("text")).otherwise(text), "_n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(visible), "_n_dropped": F.coalesce(F.size("_drops"), F.lit(0))}
-    names = [c for c in docs.columns if c != "_row"]
-    return rows_.select(*[own.get(c, F.col(c)).alias(c) for c in names], *[own[c].cast("long").alias(c) for c in ("_n_lines", "_n_dropped")])
+    made = rows_.select("doc_id", "_other", *[value.alias(f"_made_{c}") for c, value in own.items()])
+    kept = [F.col("_made_text").alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.col("_other")[c].alias(c) for c in columns]
+    return made.select(*kept, *[F.col(f"_made_{c}").cast("long").alias(c) for c in ("_n_lines", "_n_dropped")])
 
 
 @query("op8_fuzzy_line_dedup")
 def op8(spark, sf_dir):
-    return deduplicated(documents(spark, sf_dir), size=SHINGLE).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    return deduplicated(documents(spark, sf_dir)).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")

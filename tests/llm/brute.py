@@ -54,7 +54,7 @@ def without_repeats(rows, width=50):
     return sorted(result)
 
 
-def fuzzy_lines(rows, size=9, percent=80):
+def fuzzy_lines(rows, size=5, percent=80):
     """The text each row keeps; every pair of lines is compared."""
     lines = defaultdict(list)
     for i, text in rows:

@@ -140,3 +140,23 @@ def test_shares_are_exact_beyond_64_bits():
 
 def test_new_queries_have_sql():
     assert {"op11_spelling_variants", "op12_license_scan", "op13_source_divergence"} <= set(ORACLES)
+
+
+def test_rows_that_differ_in_another_column_stay(spark):
+    from dealtide.llm import curriculum
+
+    rows = [(1, "a b c d", "s", "en"), (1, "a b c d", "s", "de"), (1, "a b c d", "s", "de"), (2, "e f", "t", "fr")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").selectExpr("*", "1 AS _own", "2 AS _at", "3 AS _row", "4 AS _key")
+    taken = curriculum.taken_rows(frame)
+    assert taken.columns == frame.columns and {r.lang for r in taken.collect()} == {"en", "de", "fr"}
+    assert {(r._own, r._at, r._row, r._key) for r in taken.collect()} == {(1, 2, 3, 4)}
+
+
+def test_lines_with_clashing_columns(spark):
+    from dealtide.llm import fuzzy_lines
+
+    frame = spark.createDataFrame([(1, "one line\nother line here", "x"), (2, "one line\nmore", "y")], "doc_id long, text string, lang string")
+    frame = frame.selectExpr("lang AS _row", "doc_id", "1 AS _lines", "text", "2 AS _kept", "3 AS _drops", "4 AS _n_lines", "5 AS _other", "6 AS sid")
+    got = {r.doc_id: r for r in fuzzy_lines.deduplicated(frame).collect()}
+    assert (got[2].text, got[2]._row, got[2]._lines, got[2]._kept, got[2]._drops, got[2]._n_lines, got[2]._other, got[2].sid) == ("more", "y", 1, 2, 3, 2, 5, 6)
+    assert fuzzy_lines.deduplicated(frame.select("text", "doc_id")).columns == ["text", "doc_id", "_n_lines", "_n_dropped"]
