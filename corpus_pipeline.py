@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that repeat others; ``n_chars`` follows the text. No document goes."""
-    found = fuzzy_lines.deduplicated(docs, size=fuzzy_lines.SHINGLE).drop("_n_lines", "_n_dropped")
+    found = fuzzy_lines.deduplicated(docs).drop("_n_lines", "_n_dropped")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -38,6 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; null and empty texts have no ids, repeated rows stay, other columns are left out."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -49,7 +50,7 @@ STAGES = [
     ("bpe", bpe_round_trip),
 ]
 
-#: Profiles, fuzzy links and BPE have no SQL; tests compare with brute force.
+#: Profiles, fuzzy links and BPE have no SQL; tests compare line dedup, near duplicates and BPE with plain statements of their results.
 ORACLE_SQL = None
 
 
