@@ -43,12 +43,41 @@ WORDS = (
 # Rows of common keyboards.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "qwertzuiop", "azertyuiop", "abcdefghijklmnopqrstuvwxyz")
 
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-REPEAT = re.compile(r"(.{1,8}?)\1+", re.DOTALL)
+#: Dates with year, month and day, in two orders, and years alone.
+DATES = (
+    (re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])"), log10(365 * 120)),
+    (re.compile(r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d"), log10(365 * 120)),
+    (re.compile(r"(?:19|20)\d\d"), log10(120)),
+)
+#: Longest unit of a repeat; letters of a keyboard walk at least, and what its first one costs.
+UNIT, WALK, FIRST = 8, 3, log10(94)
+
+
+class Starts:
+    """Where pieces of one kind may start, less those that an earlier start always beats.
+
+    A piece from ``s`` costs ``best[s]`` and the logarithm of its length in steps of ``step``. A start loses to an earlier one
+    if it does so for its shortest piece, of ``least`` steps, as its lead only shrinks with length. So few are kept, however long the run.
+    """
+
+    def __init__(self, step: int, least: int):
+        self.step, self.least, self.kept = step, least, []
+
+    def add(self, start: int, cost: float) -> None:
+        if all(cost - c < log10(((start - s) / self.step + self.least) / self.least) for s, c in self.kept):
+            self.kept.append((start, cost))
+
+    def cheapest(self, end: int) -> float:
+        """The least cost of a piece that ends at ``end``, without what its kind costs."""
+        first = self.step * self.least
+        return min((c + log10((end - s) / self.step) for s, c in self.kept if end - s >= first), default=float("inf"))
 
 
 class GuessCost:
-    """Least cost of a value; ``words`` come most frequent first and cost the logarithm of their rank."""
+    """Least cost of a value over all ways to cut it; ``words`` come most frequent first and cost the logarithm of their rank.
+
+    Every part of a value that is a word, a date, a repeat of a unit, or a walk along keyboard rows may be a piece.
+    """
 
     def __init__(self, words: list[str] = WORDS):
         self.words = {w: log10(n + 2) for n, w in reversed(list(enumerate(words)))}
@@ -56,40 +85,52 @@ class GuessCost:
         self.next = {a + b for row in ROWS for a, b in zip(row, row[1:])}
         self.next |= {p[::-1] for p in self.next}
 
-    def spans(self, value: str) -> Iterator[tuple[int, int, float]]:
-        """All pieces but single characters: start, end, cost."""
-        low = value.lower()
-        n = len(low)
-        for start in range(n):
-            for end in range(start + 2, min(n, start + self.longest) + 1):
-                if (cost := self.words.get(low[start:end])) is not None:
-                    odd = sum(c.isupper() for c in value[start:end])
-                    yield start, end, cost + (0 if not odd else 0.3 if odd == end - start or (odd == 1 and value[start].isupper()) else 0.3 * odd)
-        for start in range(n):
-            if m := DATE.match(low, start):
-                yield start, m.end(), log10(365 * 120) if m.end() - start > 4 else log10(120)
-        at = 0
-        while m := REPEAT.search(low, at):
-            unit, times = m.group(1), (m.end() - m.start()) // len(m.group(1))
-            yield m.start(), m.end(), min(len(unit), self.words.get(unit, 99)) + log10(times)
-            at = m.end()
-        start = 0
-        while start < n:
-            end = start + 1
-            while end < n and low[end - 1 : end + 1] in self.next:
-                end += 1
-            if end - start >= 3:
-                yield start, end, log10(94) + log10(end - start)
-            start = max(end, start + 1)
+    def word(self, value: str) -> float | None:
+        """What a word costs, with its capitals; None if it is none."""
+        cost = self.words.get(value.lower())
+        if cost is None:
+            return None
+        odd = sum(c.isupper() for c in value)
+        return cost + (0 if not odd else 0.3 if odd == len(value) or (odd == 1 and value[0].isupper()) else 0.3 * odd)
 
     def __call__(self, value: str) -> float:
+        low = value.lower()
+        if len(low) != len(value):  # a few letters get longer in lower case
+            value = low
         n = len(value)
-        ends: dict[int, list[tuple[int, float]]] = {}
-        for start, end, cost in self.spans(value):
-            ends.setdefault(end, []).append((start, cost))
+        dates: dict[int, list[tuple[int, float]]] = {}
+        for start in range(n):
+            if low[start].isdigit():
+                for kind, cost in DATES:
+                    if m := kind.match(low, start):
+                        dates.setdefault(m.end(), []).append((start, cost))
         best = [0.0] * (n + 1)
-        for end in range(1, n + 1):
-            best[end] = min([best[end - 1] + 1.0, *(best[start] + cost for start, cost in ends.get(end, ()))])
+        walk = Starts(1, WALK)
+        repeats = {unit: [Starts(unit, 2) for _ in range(unit)] for unit in range(1, UNIT + 1)}
+        for end in range(n + 1):
+            if end:
+                costs = [best[end - 1] + 1.0]
+                for start in range(max(0, end - self.longest), end - 1):
+                    if (cost := self.word(value[start:end])) is not None:
+                        costs.append(best[start] + cost)
+                costs += [best[start] + cost for start, cost in dates.get(end, ())]
+                if low[end - 2 : end] not in self.next:
+                    walk = Starts(1, WALK)
+                    walk.add(end - 1, best[end - 1])
+                costs.append(walk.cheapest(end) + FIRST)
+                for unit, by_rest in repeats.items():
+                    if end <= unit:
+                        continue
+                    if low[end - 1] != low[end - 1 - unit]:  # what repeats from here on starts in the last unit
+                        by_rest = repeats[unit] = [Starts(unit, 2) for _ in range(unit)]
+                        for start in range(end - unit, end):
+                            by_rest[start % unit].add(start, best[start])
+                    one = low[end - unit : end]
+                    costs.append(by_rest[end % unit].cheapest(end) + min(unit, self.words.get(one, 99)))
+                best[end] = min(costs)
+            walk.add(end, best[end])
+            for unit, by_rest in repeats.items():
+                by_rest[end % unit].add(end, best[end])
         return best[n]
 
 

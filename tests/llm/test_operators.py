@@ -239,21 +239,6 @@ def test_guess_cost(cheap, costly):
     assert cost(cheap) < secrets.COSTLY <= cost(costly) and cost("") == 0
 
 
-def test_guess_cost_is_the_least():
-    """Against all ways to cut short values."""
-    cost = secrets.GuessCost()
-
-    def slow(value):
-        spans = defaultdict(list)
-        for a, b, c in cost.spans(value):
-            spans[a].append((b, c))
-        go = lambda a: 0.0 if a == len(value) else min([1 + go(a + 1), *(c + go(b) for b, c in spans[a])])
-        return go(0)
-
-    for value in ("password1", "adminadmin", "qwer2020", "aaaa1111", "letmein", "zxcvKey9"):
-        assert abs(cost(value) - slow(value)) < 1e-9
-
-
 def test_quality(odd, rows):
     found = quality.judged(odd).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

@@ -160,3 +160,45 @@ def test_lines_with_clashing_columns(spark):
     got = {r.doc_id: r for r in fuzzy_lines.deduplicated(frame).collect()}
     assert (got[2].text, got[2]._row, got[2]._lines, got[2]._kept, got[2]._drops, got[2]._n_lines, got[2]._other, got[2].sid) == ("more", "y", 1, 2, 3, 2, 5, 6)
     assert fuzzy_lines.deduplicated(frame.select("text", "doc_id")).columns == ["text", "doc_id", "_n_lines", "_n_dropped"]
+
+
+def plain_cost(value, cost):
+    """Every part of a value that may be a piece, and the least sum over all cuts."""
+    from functools import lru_cache
+    from math import log10
+    from dealtide.llm import secrets
+
+    def piece(part):
+        found, low = [1.0] if len(part) == 1 else [], part.lower()
+        if len(part) > 1 and (word := cost.word(part)) is not None:
+            found.append(word)
+        found += [c for kind, c in secrets.DATES if kind.fullmatch(low)]
+        for unit in range(1, 9):
+            times = len(low) // unit
+            if times > 1 and low == low[:unit] * times:
+                found.append(min(unit, cost.words.get(low[:unit], 99)) + log10(times))
+        if len(low) > 2 and all(low[k : k + 2] in cost.next for k in range(len(low) - 1)):
+            found.append(log10(94) + log10(len(low)))
+        return min(found, default=None)
+
+    @lru_cache(maxsize=None)
+    def best(end):
+        return min((best(s) + c for s in range(end) if (c := piece(value[s:end])) is not None), default=0.0)
+
+    return best(len(value))
+
+
+def test_guess_cost_is_the_least():
+    from dealtide.llm import secrets
+
+    cost, rng = secrets.GuessCost(), random.Random(11)
+    parts = ["user", "Pass", "qwer", "1999", "20240131", "31.12.2001", "abab", "xyxyxy", "zz", "7", "!", "asdfgf", "wertyuser", "ADMIN", "é", "qwqwqw", "123123123"]
+    values = ["password1", "adminadmin", "qwer2020", "aaaa1111", "letmein", "zxcvKey9", "wertyuser", "passwordpassword", "aaaaaaaaaaaa", "qwertyqwerty1", "abcabcab", "İstanbul", "x"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(150)]
+    values += ["".join(rng.choice("abqw12") for _ in range(rng.randrange(1, 16))) for _ in range(250)]
+    for value in values:
+        shown = value if len(value.lower()) == len(value) else value.lower()
+        assert abs(cost(value) - plain_cost(shown, cost)) < 1e-9, value
+    assert round(cost("wertyuser"), 2) == 3.52
+    assert cost("qw" * 20_000) < 8 < cost("x7!Lp0@Rk2")  # long runs are cut in time that follows their length
+
+
