@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import once
+
 #: The inside of a tag: a ``>`` within quotes does not end it.
 INSIDE = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 #: What holds no elements: comments, and elements whose content is text.
@@ -32,11 +34,6 @@ def _character(number: Column) -> Column:
     return F.when(good, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("�")
 
 
-def once(value: Column, use) -> Column:
-    """``use`` of ``value``, which is computed once however often it is used: an array of one element holds it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def unescaped(text: Column) -> Column:
     """``text`` with its character references decoded; what is none stays as it is."""
     names = F.create_map(*[F.lit(v) for pair in NAMED.items() for v in pair])

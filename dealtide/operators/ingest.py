@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import unnest
+from ..functions.arrays import once, unnest
 from ..functions.text import js_percent_decode, present, query_values, strip
 from .events import ATTRIBUTION, ENGAGEMENT_EVENTS, OUTBOUND
 
@@ -44,17 +44,14 @@ def consent_gate(hits: DataFrame) -> DataFrame:
 
 
 def parse_attribution_cookie(raw: Column) -> Column:
-    """The four utm texts of an attribution cookie; null when it does not decode, parse or name any."""
-    doc = F.try_parse_json(js_percent_decode(raw))
-
-    def text(key: str) -> Column:
+    """The four utm texts of an attribution cookie; null when it does not decode, parse or name any. It is decoded and parsed once."""
+    def text(doc: Column, key: str) -> Column:
         kind = F.schema_of_variant(F.try_variant_get(doc, f"$.{key}", "variant"))
         value = F.try_variant_get(doc, f"$.{key}", "string")
         return F.when((kind == "STRING") & (value != ""), value)
 
-    fields = {key: text(key) for key in UTM_KEYS}
-    some = F.coalesce(*fields.values()).isNotNull()
-    return F.when(some, F.struct(*[value.alias(key) for key, value in fields.items()]))
+    texts = once(F.try_parse_json(js_percent_decode(raw)), lambda doc: F.struct(*[text(doc, key).alias(key) for key in UTM_KEYS]))
+    return once(texts, lambda t: F.when(F.coalesce(*[t[key] for key in UTM_KEYS]).isNotNull(), t))
 
 
 def utm_from_url(url: Column) -> Column:
@@ -99,7 +96,9 @@ def attribution_events(hits: DataFrame, max_chars: int | None = None) -> DataFra
 
 
 def _with_cookie_utm(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("_utm", parse_attribution_cookie(cookie_value(F.col("cookie"), ATTRIBUTION_COOKIE)))
+    # a generator of one row holds the parsed cookie, so that it is not parsed again for each field
+    made = F.array(F.struct(parse_attribution_cookie(cookie_value(F.col("cookie"), ATTRIBUTION_COOKIE)).alias("utm")))
+    return unnest(hits, hits.columns, made, "_cookie").select(*hits.columns, F.col("_cookie.utm").alias("_utm"))
 
 
 def engagement_events(hits: DataFrame, retailers: DataFrame) -> DataFrame:

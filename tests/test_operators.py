@@ -310,3 +310,16 @@ def test_scroll_milestones(spark):
     assert got == {
         (1, "folder_view", 0), (1, "folder_engaged_15s", 15), (1, "folder_scroll_50", 10), (1, "folder_scroll_90", 20), (2, "folder_view", 0),
     }
+
+
+def test_stores_at_one_place(spark):
+    """Of 10,000 stores at one place only the k first are looked at."""
+    crowd = [(n, 51.0, 4.0) for n in range(10_000)] + [(20_000 + n, 51.0 + n / 100, 4.1) for n in range(5)]
+    stores = spark.createDataFrame(crowd, "id long, lat double, lng double")
+    users = spark.createDataFrame([(1, 51.0, 4.0), (2, 51.2, 4.3)], "user_id long, lat double, lng double")
+    found = proximity.nearest_stores(users, stores, 3)
+    got = {(r.user_id, r["rank"]): r.store_id for r in found.collect()}
+    assert [got[1, n] for n in (1, 2, 3)] == [0, 1, 2] and len(got) == 6
+    places = stores.join(stores.groupBy("lat", "lng").agg(F.min("id").alias("least")), ["lat", "lng"]).filter("id < least + 3").select("id", "lat", "lng")
+    points = users.select(F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    assert proximity.near_pairs(points, places, 3, []).count() <= 2 * 8
