@@ -9,7 +9,9 @@ from ..operators import changes as ch
 from ..operators import coverage as cv
 from ..operators import folders as fo
 from ..operators import health as he
+from ..sources import sinks
 from ..sources.documents import deals_of, folders_of, parse_docs
+from ..streaming.folders import run_folder
 from .registry import query
 from .views import AS_OF
 
@@ -275,6 +277,20 @@ def health_summary(t):
     return he.health_summary(entries_of(t))
 
 
+@query(
+    "write_health_manifest",
+    f"""WITH {ENTRIES_SQL} SELECT status, count(*) AS entries, (SELECT count(*) FROM entries) AS total, (SELECT count(*) FROM entries WHERE errors > 0) AS with_errors, '2024-01-31T00:00:00Z' AS stamp
+        FROM entries GROUP BY status""",
+)
+def write_health_manifest(t):
+    """The manifest is written and read back: its lines by status beside its totals."""
+    path = run_folder(t.spark, "health")
+    sinks.write_health_manifest(entries_of(t), path, "2024-01-31T00:00:00Z")
+    totals = t.spark.read.json(f"{path}/summary").select("summary.total", "summary.with_errors", F.col("generatedAt").alias("stamp"))
+    lines = t.spark.read.json(f"{path}/retailers").groupBy("status").agg(F.count("*").alias("entries"))
+    return lines.withColumn("stamp", F.lit("2024-01-31T00:00:00Z")).join(totals, "stamp")
+
+
 @query(
     "run_alerts",
     f"""WITH {ENTRIES_SQL} SELECT run_id, slug, 'missing' AS kind, true AS fatal FROM entries WHERE status = 'missing'
