@@ -19,6 +19,9 @@ SHINGLE = 5
 PERCENT = 80
 #: Bands of a signature and values of a band. A pair at the threshold shares a band with probability 0.999.
 BANDS, ROWS = 10, 3
+#: Of 30 signature values, kept as four bits each, so many may differ for a pair to be verified. At the threshold more differ
+#: with probability 0.0001, at a likeness of 0.3 nearly always.
+DIFFER = 14
 
 
 def values(shingle: Column, count: int) -> list[Column]:
@@ -39,7 +42,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def banded(lines: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(sig, sid) of the lines (sid, line), a row per band."""
+    """(sig, sid, n) of the lines (sid, line), a row per band; ``n`` holds four bits of each signature value."""
     count = F.greatest(F.length("line") - size + 1, F.lit(1))
     bodies = once(lines.select("sid", "line"), body=points(F.col("line")), count=count)  # else computed for every shingle
     cut = bodies.select("sid", "body", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
@@ -47,7 +50,27 @@ def banded(lines: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) ->
     least = [F.min(rank).alias(f"m{n}") for n, rank in enumerate(values(F.col("h"), bands * rows))]
     signed = hashed.groupBy("sid").agg(*least)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
-    return signed.select("sid", F.explode(keys).alias("sig"))
+    half = bands * rows // 2
+
+    def packed(first: int, last: int) -> Column:
+        found = F.lit(0).cast("long")
+        for place, n in enumerate(range(first, last)):
+            found = found.bitwiseOR(F.shiftleft(F.xxhash64(f"m{n}").bitwiseAND(F.lit(15).cast("long")), 4 * place))
+        return found
+
+    sketch = F.struct(packed(0, half).alias("low"), packed(half, bands * rows).alias("high"))
+    return signed.select("sid", sketch.alias("n"), F.explode(keys).alias("sig"))
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many of their values two sketches differ."""
+    total = F.lit(0)
+    for part in ("low", "high"):
+        x = F.col(f"{a}.{part}").bitwiseXOR(F.col(f"{b}.{part}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def shingle_set(line: str, size: int) -> Column:
@@ -84,10 +107,10 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     numbered = lines.select(F.xxhash64("line").alias("sid"), "line")
     entries = banded(numbered, size)
     group = Window.partitionBy("sig")
-    entries = settled(entries.withColumn("least", F.min("sid").over(group)).withColumn("most", F.max("sid").over(group)).filter("least <> most").select("sig", "sid", F.lit(1).alias("n")))
+    entries = settled(entries.withColumn("least", F.min("sid").over(group)).withColumn("most", F.max("sid").over(group)).filter("least <> most").select("sig", "sid", "n"))
     wanted = numbered.join(entries.select("sid").distinct(), "sid", "left_semi")
     texts = settled(wanted.distinct())
-    labels = settled(components(star_links(entries, lambda pairs: similar(pairs, texts, size, percent))))
+    labels = settled(components(star_links(entries, lambda pairs: similar(pairs, texts, size, percent), differing("n", "m") <= DIFFER)))
     known = placed.join(labels, placed["sid"] == labels["node"], "left").select("rk", "doc_id", "line_no", F.coalesce("component", "sid").alias("component"))
     known = settled(known)
     first = known.groupBy("component").agg(F.min(F.struct("doc_id", "line_no", "rk")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first")
