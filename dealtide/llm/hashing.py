@@ -26,16 +26,20 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers: dict[str, np.ndarray] = {}
 
 
+#: Powers a worker keeps; more, for a very long text, are made anew each time, so that no task leaves large tables behind.
+KEPT_POWERS = 1 << 20
+
+
 def powers(count: int, inverse: bool = False) -> np.ndarray:
     """1, b, b^2, ... modulo 2^64."""
     key = "inverse" if inverse else "base"
     held = _powers.get(key)
     if held is None or len(held) < count:
-        size = max(count, 1 << 20)
-        held = np.full(size, _INVERSE if inverse else _BASE, np.uint64)
+        held = np.full(max(count, KEPT_POWERS), _INVERSE if inverse else _BASE, np.uint64)
         held[0] = 1
-        held = np.multiply.accumulate(held)
-        _powers[key] = held
+        np.multiply.accumulate(held, out=held)
+        if len(held) == KEPT_POWERS:
+            _powers[key] = held
     return held[:count]
 
 
