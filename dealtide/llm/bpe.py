@@ -8,6 +8,7 @@ A fragment met before is looked up; only new ones are encoded.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -19,12 +20,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, sha256
+from .common import documents
 from .registry import query
 
 SPACES = b" \t\n\v\f\r"
-#: Fragments a worker keeps at most; beyond it starts anew.
-KEPT = 300_000
+#: Bytes of fragments and ids a worker keeps, besides those of the text at hand; beyond it starts anew. An entry costs ENTRY more.
+KEPT_BYTES, ENTRY = 48 << 20, 200
 
 
 def byte_of_char() -> dict[str, int]:
@@ -72,24 +73,31 @@ class Codec:
         # A fragment: white space, a word, and any further words that follow no certain cut.
         self.fragment = re.compile(gap + b"*(?:" + word + stop + gap + b"+)*" + word)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
+        self.decimal = [b"%d," % n for n in range(len(self.bytes_of))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known, find = self.known, self.fragment.findall
         found = []
         for text in texts:
+            if self.held > KEPT_BYTES:
+                known.clear()
+                self.held = 0
             parts = find(text.encode())
             new = list({p for p in parts if p not in known})
-            if new:
-                if len(known) + len(new) > KEPT:
-                    known.clear()
-                    new = list(set(parts))
-                for start in range(0, len(new), 4096):
-                    some = new[start : start + 4096]
-                    for part, made in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                        known[part] = np.array(made.ids, np.int32).tobytes()
+            for start in range(0, len(new), 4096):
+                some = new[start : start + 4096]
+                for part, made in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
+                    known[part] = np.array(made.ids, np.int32).tobytes()
+                    self.held += len(part) + len(known[part]) + ENTRY
             found.append(np.frombuffer(b"".join([known[p] for p in parts]), np.int32))
         return found
 
+    def listed(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by commas."""
+        table = self.decimal
+        return b"".join([table[n] for n in ids.tolist()])[:-1]
+
     def decode(self, ids: np.ndarray) -> str:
         table = self.bytes_of
         return b"".join([table[n] for n in ids.tolist()]).decode("utf-8", "replace")
@@ -139,12 +147,28 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Number and digest of the ids of each text, and the digest of what they decode to."""
-    coded = decode(encode(docs, path), path)
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(listed).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"),
-    )
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs`` (doc_id, text): number and digest of the ids of each text, and the
+    digest of what they decode to.
+
+    One pass: a task has one Python worker, and neither ids nor decoded texts leave it. Null and empty texts have no ids and decode to
+    the empty text. Repeated rows and null ids stay; other columns are left out, whatever their names.
+    """
+    source = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = codec(path)
+        for batch in batches:
+            counts, ids_digests, digests = [], [], []
+            for text in batch.column(1):
+                (ids,) = made.encode([text.as_py() or ""])
+                counts.append(len(ids))
+                ids_digests.append(hashlib.sha256(made.listed(ids)).hexdigest())
+                digests.append(hashlib.sha256(made.decode(ids).encode()).hexdigest())
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @query("op6_bpe_round_trip")

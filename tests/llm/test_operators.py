@@ -154,9 +154,24 @@ def test_bpe_fragments():
         assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids and own.decode(ids) == text
 
 
-def test_bpe_digests(odd):
-    r = next(r for r in bpe.round_trip(odd, PATH).collect() if r["doc_id"] == 1000)
-    assert r["n_tokens"] == 0 and r["ids_sha256"] == r["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+def test_bpe_digests(odd, rows):
+    lib, digest = Tokenizer.from_file(PATH), lambda data: hashlib.sha256(data.encode()).hexdigest()
+    want = []
+    for i, text in rows:
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        want.append((i, len(ids), digest(",".join(map(str, ids))), digest(lib.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, bpe.round_trip(odd, PATH).collect())) == sorted(want)
+    empty = next(r for r in bpe.round_trip(odd, PATH).collect() if r["doc_id"] == 1000)
+    assert empty["n_tokens"] == 0 and empty["ids_sha256"] == empty["decoded_sha256"] == digest("")
+
+
+def test_bpe_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 2000)
+    own, lib = bpe.Codec(PATH), Tokenizer.from_file(PATH)
+    for n in range(40):
+        text = " ".join(f"w{n}x{m}" for m in range(9)) + " " + "漢字" * 50
+        assert own.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert own.held <= 2000 + sum(len(p) + len(i) + bpe.ENTRY for p, i in own.known.items()) and len(own.known) < 60
 
 
 def test_mix(odd, rows):
