@@ -154,7 +154,7 @@ PICKED_SQL = f"""{CAPTURES_SQL},
 
 
 def framed_of(t):
-    t.part.createOrReplaceTempView("part")
+    t.dealt("part", "part").createOrReplaceTempView("part")
     return t.spark.sql(FRAMED)
 
 
@@ -278,5 +278,5 @@ VIEWERS = """CASE p_partkey % 6 WHEN 0 THEN 'https://e.issuu.com/embed.html?d=x'
         FROM (SELECT p_partkey, CAST(unnest(range(1, p_size + 1)) AS INTEGER) AS page FROM part WHERE p_partkey % 6 < 5)""",
 )
 def viewer_page_urls(t):
-    embeds = t.part.select("p_partkey", "p_size", F.expr(VIEWERS).alias("url"))
+    embeds = t.dealt("part", "part").select("p_partkey", "p_size", F.expr(VIEWERS).alias("url"))
     return cp.viewer_page_urls(embeds, F.col("p_size").cast("int")).select("p_partkey", "page", "page_url")

@@ -51,10 +51,10 @@ def visits_of(t):
 
 def harvest_of(t):
     leaflets = td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"])
-    deals = hv.stage_deals(pg.card_deals(t.card_pages, CARD_RULES), hv.PRIMARY, "html", "page_id")
-    deals = deals.unionByName(hv.stage_deals(pg.jsonld_deals(t.ld_pages), hv.PRIMARY, "html", "page_id", rank=1))
+    deals = hv.stage_deals(pg.card_deals(t.dealt("card_pages", "part"), CARD_RULES), hv.PRIMARY, "html", "page_id")
+    deals = deals.unionByName(hv.stage_deals(pg.jsonld_deals(t.dealt("ld_pages", "part")), hv.PRIMARY, "html", "page_id", rank=1))
     deals = deals.unionByName(hv.stage_deals(td.text_deals(leaflets), hv.LEAFLET_TEXT, "pdf-text", "doc_id"))
-    deals = deals.unionByName(hv.stage_deals(pg.page_text_deals(t.card_texts), hv.PAGE_TEXT, "page-text", "page_id"))
+    deals = deals.unionByName(hv.stage_deals(pg.page_text_deals(t.dealt("card_texts", "part")), hv.PAGE_TEXT, "page-text", "page_id"))
     return hv.harvested(deals, visits_of(t), AS_OF)
 
 
