@@ -8,7 +8,9 @@ from ..operators import harvest as hv
 from ..operators import page_deals as pg
 from ..operators import products as pr
 from ..operators import text_deals as td
+from ..operators.deals import without_deals
 from ..sources.documents import parse_docs
+from ..streaming.folders import stored_once
 from .extract_queries import CARD_RULES, CARD_SQL, GATE_SQL, LD_BLOCKS_SQL, LD_SQL, PAGE_TEXT_SQL, PARTS_SQL, deals_sql
 from .product_queries import PROMO_TYPE_SQL, SHOWN
 from .registry import query
@@ -50,12 +52,16 @@ def visits_of(t):
 
 
 def harvest_of(t):
-    leaflets = td.catalogue_gate(t.leaflet_pages, ["doc_id", "retailer_slug"])
+    """Primary deals are extracted and stored first; of the leaflets and page texts only those of retailers without any are read."""
+    visits = visits_of(t)
     deals = hv.stage_deals(pg.card_deals(t.dealt("card_pages", "part"), CARD_RULES), hv.PRIMARY, "html", "page_id")
     deals = deals.unionByName(hv.stage_deals(pg.jsonld_deals(t.dealt("ld_pages", "part")), hv.PRIMARY, "html", "page_id", rank=1))
+    deals = stored_once(hv.before_challenges(deals, visits), "primary")
+    done = stored_once(deals.select("retailer_slug").distinct(), "done")
+    leaflets = td.catalogue_gate(without_deals(t.leaflet_pages, done), ["doc_id", "retailer_slug"])
     deals = deals.unionByName(hv.stage_deals(td.text_deals(leaflets), hv.LEAFLET_TEXT, "pdf-text", "doc_id"))
-    deals = deals.unionByName(hv.stage_deals(pg.page_text_deals(t.dealt("card_texts", "part")), hv.PAGE_TEXT, "page-text", "page_id"))
-    return hv.harvested(deals, visits_of(t), AS_OF)
+    deals = deals.unionByName(hv.stage_deals(pg.page_text_deals(without_deals(t.dealt("card_texts", "part"), done)), hv.PAGE_TEXT, "page-text", "page_id"))
+    return hv.harvested(deals, visits, AS_OF)
 
 
 def folders_of(t):
@@ -93,7 +99,7 @@ def harvested(t):
         SELECT * EXCLUDE (first_n, last_n) FROM rows WHERE first_n = 1 AND last_n = 1""",
 )
 def harvest_products(t):
-    deals = hv.harvest_products(harvest_of(t), visits_of(t), folders_of(t), t.retailers, "general")
+    deals = hv.harvest_products(stored_once(harvest_of(t), "harvest"), visits_of(t), folders_of(t), t.retailers, "general")
     rows = pr.upsert_products(None, pr.keyed_rows(deals, AS_OF))
     return rows.select(*SHOWN, "image_url", "source_method", "source_url", "retailer_name", "folder_title")
 
@@ -107,7 +113,7 @@ def harvest_products(t):
 )
 def harvest_documents(t):
     """The documents read back from their JSON text."""
-    docs = parse_docs(hv.harvest_documents(harvest_of(t), folders_of(t), visits_of(t), AS_OF).select("slug", "raw"))
+    docs = parse_docs(hv.harvest_documents(stored_once(harvest_of(t), "harvest"), folders_of(t), visits_of(t), AS_OF).select("slug", "raw"))
     products = F.transform("deals", lambda d: d["product"])
     total = F.aggregate("deals", F.lit(0.0), lambda s, d: s + F.coalesce(d["promo_price"], F.lit(0.0)))
     return docs.select(
