@@ -163,10 +163,14 @@ def _scraped_since(products: DataFrame, as_of, days) -> Column:
     return F.col("scraped_at") >= time_literal(products, "scraped_at", moment)
 
 
+def in_category(products: DataFrame, category: str, as_of, days=30) -> Column:
+    """Whether a row is of ``category``, compared without the case of A-Z, and was scraped in the last ``days``."""
+    return (ascii_fold(F.col("category")) == ascii_fold(F.lit(category))) & _scraped_since(products, as_of, days)
+
+
 def products_by_category(products: DataFrame, category: str, as_of, days=30, limit=500) -> DataFrame:
     """Category compared without the case of A-Z; cheapest first, unpriced before all."""
-    same = ascii_fold(F.col("category")) == ascii_fold(F.lit(category))
-    found = products.filter(same & _scraped_since(products, as_of, days))
+    found = products.filter(in_category(products, category, as_of, days))
     return _top(found, [F.col("promo_price").asc_nulls_first(), "product_name", "id"], limit, 500)
 
 

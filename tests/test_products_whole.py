@@ -22,3 +22,19 @@ def test_no_limit_is_the_whole_answer(spark):
     for found in asked:
         assert [r.product_name for r in found.select("product_name").collect()] == [f"p{n:05d}" for n in range(1200)]
     assert products.products_by_week(held, 20, 1999, limit="x").count() == 1000
+
+
+def test_category_merges_only_what_can_pass(spark):
+    """A product with an older row that passes is looked at, but its last row decides; the others are not merged."""
+    from dealtide.plans import ORACLES, QUERIES
+
+    from .compare import compare, duck
+
+    sf = "/root/testdata/sf0.001"
+    assert "LeftSemi" in QUERIES["products_by_category"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "products_by_category" in ORACLES and compare(spark, duck(sf), sf, "products_by_category") is None
+    rows = [("s", "p", "v", DAY, DAY, dt.datetime(1999, 5, 17), "promo", 1.0, 1), ("s", "p", "v", DAY, DAY, dt.datetime(1999, 5, 18), "other", 1.0, 2)]
+    deals = spark.createDataFrame(rows, "retailer_slug string, product string, vertical string, valid_from date, valid_until date, scraped_at timestamp, category string, promo_price double, seq bigint")
+    keyed = products.keyed_rows(deals.withColumn("original_price", deals.promo_price), "1999-05-18")
+    assert keyed.filter(products.in_category(keyed, "PROMO", "1999-05-20")).count() == 1
+    assert products.products_by_category(products.upsert_products(None, keyed), "PROMO", "1999-05-20", limit=None).count() == 0
