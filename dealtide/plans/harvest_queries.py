@@ -58,7 +58,7 @@ def harvest_of(t):
     deals = deals.unionByName(hv.stage_deals(pg.jsonld_deals(t.dealt("ld_pages", "part")), hv.PRIMARY, "html", "page_id", rank=1))
     deals = stored_once(hv.before_challenges(deals, visits), "primary")
     done = stored_once(deals.select("retailer_slug").distinct(), "done")
-    leaflets = td.catalogue_gate(without_deals(t.leaflet_pages, done), ["doc_id", "retailer_slug"])
+    leaflets = td.catalogue_gate(without_deals(t.dealt("leaflet_pages", "lineitem"), done), ["doc_id", "retailer_slug"])
     deals = deals.unionByName(hv.stage_deals(td.text_deals(leaflets), hv.LEAFLET_TEXT, "pdf-text", "doc_id"))
     deals = deals.unionByName(hv.stage_deals(pg.page_text_deals(without_deals(t.dealt("card_texts", "part"), done)), hv.PAGE_TEXT, "page-text", "page_id"))
     return hv.harvested(deals, visits, AS_OF)

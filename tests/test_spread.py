@@ -23,3 +23,10 @@ def test_blocks_by_kind_are_the_blocks(spark):
     whole = sorted(map(tuple, text_deals.line_blocks(lines).collect()), key=str)
     parts = [text_deals.euro_price_deals(lines), text_deals.discount_only_deals(lines), text_deals.naked_price_deals(lines)]
     assert whole and sorted([tuple(r) for part in parts for r in part.collect()], key=str) == whole
+
+
+@pytest.mark.parametrize("name", ["catalogue_gate", "leaflet_deals"])
+def test_leaflets_are_gathered_in_a_stated_number_of_parts(spark, name):
+    """AQE goes by compressed bytes and would join the parts of short lines into few large ones."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "REPARTITION_BY_NUM" in plan
