@@ -38,3 +38,15 @@ def test_category_merges_only_what_can_pass(spark):
     keyed = products.keyed_rows(deals.withColumn("original_price", deals.promo_price), "1999-05-18")
     assert keyed.filter(products.in_category(keyed, "PROMO", "1999-05-20")).count() == 1
     assert products.products_by_category(products.upsert_products(None, keyed), "PROMO", "1999-05-20", limit=None).count() == 0
+
+
+def test_key_conditions_come_before_the_merge(spark, monkeypatch):
+    """What is merged for a question about one retailer, week or validity are its rows only."""
+    from dealtide.plans import QUERIES, product_queries
+
+    merge, seen = products.upsert_products, []
+    monkeypatch.setattr(product_queries.pr, "upsert_products", lambda held, rows: seen.append(rows) or merge(held, rows))
+    outside = {"products_by_retailer": "retailer_slug <> 's7'", "products_by_week": "vertical <> 'beauty'", "search_products": "valid_until < DATE '2001-10-01'"}
+    for name, other in outside.items():
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert seen.pop().filter(other).count() == 0
