@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, documents, once, settled, star_links
+from .common import components, documents, once, released, settled, star_links
 from .registry import query
 
 #: Characters of a shingle; a shorter line is one shingle.
@@ -41,8 +41,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.filter(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
-def banded(lines: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(sig, sid, n) of the lines (sid, line), a row per band; ``n`` holds four bits of each signature value."""
+def signatures(lines: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(sid, n, keys) of the lines (sid, line): a key per band; ``n`` holds four bits of each signature value."""
     count = F.greatest(F.length("line") - size + 1, F.lit(1))
     bodies = once(lines.select("sid", "line"), body=points(F.col("line")), count=count)  # else computed for every shingle
     cut = bodies.select("sid", "body", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
@@ -59,7 +59,20 @@ def banded(lines: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) ->
         return found
 
     sketch = F.struct(packed(0, half).alias("low"), packed(half, bands * rows).alias("high"))
-    return signed.select("sid", sketch.alias("n"), F.explode(keys).alias("sig"))
+    return signed.select("sid", sketch.alias("n"), keys.alias("keys"))
+
+
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """(sig, sid, n) of ``signatures``, a row per band that several lines share. Sketches are fetched for these rows only."""
+    group = Window.partitionBy("sig")
+    entries = signed.select("sid", F.explode("keys").alias("sig"))
+    entries = entries.withColumn("least", F.min("sid").over(group)).withColumn("most", F.max("sid").over(group)).filter("least <> most").select("sig", "sid")
+    return entries.join(signed.select("sid", "n"), "sid").select("sig", "sid", "n")
+
+
+def banded(lines: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(sig, sid, n) of the lines (sid, line), a row per band."""
+    return signatures(lines, size, bands, rows).select("sid", "n", F.explode("keys").alias("sig"))
 
 
 def differing(a: str, b: str) -> Column:
@@ -74,13 +87,20 @@ def differing(a: str, b: str) -> Column:
 
 
 def shingle_set(line: str, size: int) -> Column:
-    """The distinct shingles of a line as hashes; ``line`` names its points."""
-    count = F.greatest(F.octet_length(line) / 4 - size + 1, F.lit(1)).cast("int")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), count - 1), lambda at: F.xxhash64(F.substring(F.col(line), at * 4 + 1, F.lit(4 * size)))))
+    """The distinct shingles of a line as hashes; ``line`` names its points, which are bound once: a column would be copied for every shingle."""
+    places = F.sequence(F.lit(1), F.greatest(F.octet_length(line) - 4 * size, F.lit(0)) + 1, F.lit(4))
+    hashed = F.transform(F.array(F.col(line)), lambda body: F.transform(places, lambda at: F.xxhash64(F.substring(body, at, F.lit(4 * size)))))
+    return F.array_distinct(F.get(hashed, F.lit(0)))
+
 
+def similar(pairs: DataFrame, numbered: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose lines (sid, line in ``numbered``, which may repeat) have shingle sets alike to ``percent``.
 
-def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose lines (sid, line in ``texts``) have shingle sets alike to ``percent``. Sets are built where a pair is looked at."""
+    Only lines of a pair are fetched, and sets are built where a pair is looked at.
+    """
+    pairs = settled(pairs)
+    asked = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    texts = settled(numbered.join(asked, "sid", "left_semi").distinct())
     left = texts.select(F.col("sid").alias("a"), F.col("line").alias("la"))
     right = texts.select(F.col("sid").alias("b"), F.col("line").alias("lb"))
     both = once(pairs.join(left, "a").join(right, "b"), la=points(F.col("la")), lb=points(F.col("lb")))
@@ -105,12 +125,11 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     lines = lines_of(docs.select(F.col("_row").alias("rk"), "doc_id", "text"))
     placed = settled(lines.select("rk", "doc_id", "line_no", F.xxhash64("line").alias("sid")))
     numbered = lines.select(F.xxhash64("line").alias("sid"), "line")
-    entries = banded(numbered, size)
-    group = Window.partitionBy("sig")
-    entries = settled(entries.withColumn("least", F.min("sid").over(group)).withColumn("most", F.max("sid").over(group)).filter("least <> most").select("sig", "sid", "n"))
-    wanted = numbered.join(entries.select("sid").distinct(), "sid", "left_semi")
-    texts = settled(wanted.distinct())
-    labels = settled(components(star_links(entries, lambda pairs: similar(pairs, texts, size, percent), differing("n", "m") <= DIFFER)))
+    signed = settled(signatures(numbered, size))
+    released(docs.sparkSession)
+    entries = settled(shared_bands(signed))
+    released(docs.sparkSession)
+    labels = settled(components(star_links(entries, lambda pairs: similar(pairs, numbered, size, percent), differing("n", "m") <= DIFFER)))
     known = placed.join(labels, placed["sid"] == labels["node"], "left").select("rk", "doc_id", "line_no", F.coalesce("component", "sid").alias("component"))
     known = settled(known)
     first = known.groupBy("component").agg(F.min(F.struct("doc_id", "line_no", "rk")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first")
