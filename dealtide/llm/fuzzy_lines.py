@@ -22,6 +22,8 @@ BANDS, ROWS = 10, 3
 #: Of 30 signature values, kept as four bits each, so many may differ for a pair to be verified. At the threshold more differ
 #: with probability 0.0001, at a likeness of 0.3 nearly always.
 DIFFER = 14
+#: Most bands are shared by a few lines that met by chance. Up to so many are compared with one another at once.
+FEW = 16
 
 
 def values(shingle: Column, count: int) -> list[Column]:
@@ -129,7 +131,7 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     released(docs.sparkSession)
     entries = settled(shared_bands(signed))
     released(docs.sparkSession)
-    labels = settled(components(star_links(entries, lambda pairs: similar(pairs, numbered, size, percent), differing("n", "m") <= DIFFER)))
+    labels = settled(components(star_links(entries, lambda pairs: similar(pairs, numbered, size, percent), differing("n", "m") <= DIFFER, FEW)))
     known = placed.join(labels, placed["sid"] == labels["node"], "left").select("rk", "doc_id", "line_no", F.coalesce("component", "sid").alias("component"))
     known = settled(known)
     first = known.groupBy("component").agg(F.min(F.struct("doc_id", "line_no", "rk")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first")
