@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ WIDTH, PERCENT = 4, 85
 FREQUENT, LOCAL = 16, 8
 #: Classes of frequent tokens. Sets under SMALL tokens may have too few to make a pair in any, so they are indexed singly.
 CLASSES = 16
+#: Bits of a set's sketch, in numbers of 64.
+SKETCH = 8
 # A token is 56 bits of its hash; the bit below tells frequent ones.
 _TOKEN, _FREQUENT, _CUT = np.uint64(2**64 - 2**8), np.uint64(1), np.uint64(8)
 
@@ -233,13 +236,39 @@ def near(percent: int):
     return 100 * common >= percent * (total - common)
 
 
+def sketches(found: DataFrame) -> DataFrame:
+    """(sid, n) of sets (sid, n, tokens): ``n`` becomes the number of all and of shared tokens and a sketch, a bit for each of 64 * SKETCH classes of tokens that is set if the set has an odd number of them."""
+    names = [f"w{k}" for k in range(SKETCH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                size, tokens = batch.num_rows, batch.column(2).flatten().to_numpy().view(np.uint64)
+                lengths = pc.list_value_length(batch.column(2)).to_numpy()
+                place = np.repeat(np.arange(size), lengths) * 64 * SKETCH + (mixed(tokens & _TOKEN) % np.uint64(64 * SKETCH)).astype(np.int64)
+                odd = (np.bincount(place, minlength=size * 64 * SKETCH) & 1).astype(np.uint8).reshape(size, -1)
+                bits = np.packbits(odd, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths.astype(np.int64)), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH)]], ["sid", "all", "shared", *names])
+
+    made = found.select("sid", "n", "tokens").mapInArrow(run, "sid long, `all` long, shared long, " + ", ".join(f"{w} long" for w in names))
+    return made.select("sid", F.struct("all", "shared", *names).alias("n"))
+
+
+def close(percent: int):
+    """Whether two sets of ``sketches`` can be similar: they differ in as many tokens as bits at least. No similar pair is lost."""
+    bits = sum((F.bit_count(F.col(f"n.w{k}").bitwiseXOR(F.col(f"m.w{k}"))) for k in range(SKETCH)), F.lit(0))
+    common = F.col("n.shared") + F.col("m.shared") - bits  # twice the common tokens, at most
+    return (100 + percent) * common >= 2 * percent * (F.col("n.all") + F.col("m.all"))
+
+
 def links(found: DataFrame, percent: int) -> DataFrame:
     """Verified pairs of sets (sid, n, tokens) that connect all similar ones. A set with too few shared tokens is out."""
     alive = settled(found.filter((F.size("tokens") > 0) & (100 * F.size("tokens") >= percent * F.col("n"))))
     entries = index(alive, percent)
     shared = entries.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 1").select("sig")
     entries = settled(entries.join(shared, "sig"))
-    return star_links(entries, lambda pairs: verified(pairs, alive, percent), near(percent))
+    return star_links(entries, lambda pairs: verified(pairs, alive, percent), near(percent), sketches=sketches(alive), close=close(percent))
 
 
 def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
