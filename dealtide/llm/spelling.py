@@ -51,6 +51,15 @@ def vocabulary(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST, dr
     return words.groupBy("word").agg(F.count("*").alias("n")).filter((F.col("n") >= least) & (F.char_length("word") >= shortest))
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """``side`` of a join that is not to be broadcast.
+
+    Spark takes the size of a stored table's files, in which words of one trie lie close together, and counts what is exploded from a row as one row. Tables made
+    of the vocabulary seemed small to it, were gathered in the driver and filled its memory.
+    """
+    return side.hint("merge")
+
+
 def name_of(back: Column, prefix: Column) -> list[Column]:
     return [F.xxhash64(F.lit(n), back, prefix).alias(name) for n, name in enumerate("xy")]
 
@@ -98,7 +107,7 @@ def trie(words: DataFrame, wide: int = WIDE) -> DataFrame:
     fan = F.lit(parts(words, wide))
     root = both.select("back", "word", F.lit(0).alias("depth"), *name_of(F.col("back"), F.lit("")), *[F.lit(None).cast("long").alias(c) for c in ("low", "high", "end_n")], fan.alias("fan"))
     # a one-letter prefix may hold a third of all words: a skewed join is dealt anew by the engine
-    steps = path.filter("depth > 0").select("back", "word", "depth", "x", "y").join(nodes, ["x", "y"]).select(root.columns).unionAll(root)
+    steps = path.filter("depth > 0").select("back", "word", "depth", "x", "y").join(merged(nodes), ["x", "y"]).select(root.columns).unionAll(root)
     order = Window.partitionBy("back", "word").orderBy("depth")
     below = F.lead(F.struct("depth", "x", "y", "low", "high", "end_n", "fan")).over(order)
     steps = steps.withColumn("level", F.row_number().over(order) - 1).withColumn("below", below).filter("below IS NOT NULL")
@@ -158,7 +167,7 @@ def advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
     ahead = F.when(way == INSERT, F.lit(0)).when(way == OWN, F.lit(0)).otherwise(F.lit(1))
     given = F.when(way.isin(REPLACE, INSERT), F.substring(label, 2, 1 << 30)).otherwise(label)
     fits = F.startswith(F.substring(word, pos + ahead + 1, F.char_length(label)), given) & ((way == OWN) | (F.substring(label, 1, 1) != F.substring(word, pos + 1, F.lit(1))))
-    pairs = keyed_states(states).join(keyed_edges(edges), ["x", "y", "part", "key"]).filter(fits)
+    pairs = keyed_states(states).join(merged(keyed_edges(edges)), ["x", "y", "part", "key"]).filter(fits)
     to = pos + F.char_length(label) + F.when(way == INSERT, F.lit(-1)).when(way == DELETE, F.lit(1)).otherwise(F.lit(0))
     moved = pairs.select("back", "word", to.alias("pos"), "cx", "cy", "cfan", "low", "high", "ends", "ends_n", F.when(way == OWN, F.col("edits")).otherwise(F.lit(1)).alias("edits"))
     after, edits = F.char_length("word") - F.col("pos"), F.col("edits")
@@ -208,7 +217,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = settled(forms.select("word", F.col("form").alias("root")))
     while True:
         on = now.select(F.col("word").alias("_at"), F.col("root").alias("_on"))
-        now = settled(now.join(on, now["root"] == on["_at"], "left").select("word", F.coalesce("_on", "root").alias("root"), F.col("_on").isNotNull().alias("moved")))
+        now = settled(now.join(merged(on), now["root"] == on["_at"], "left").select("word", F.coalesce("_on", "root").alias("root"), F.col("_on").isNotNull().alias("moved")))
         moved = not now.filter("moved").isEmpty()
         now = now.select("word", "root")
         if not moved:
@@ -224,11 +233,11 @@ def grouped(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST, ratio
     words = settled(vocabulary(docs, shortest, least, dropped))
     near = neighbours(words, wide).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     near = near.select("word", "n_near", F.col("best.near").alias("near"), (-F.col("best.less")).alias("near_n"))
-    rows = words.join(near, "word", "left")
+    rows = words.join(merged(near), "word", "left")
     far = F.col("near_n") >= ratio * F.col("n")
     rows = settled(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(far, F.col("near")).alias("form"), F.when(far, F.col("near_n")).alias("form_n")))
     last = roots(rows.filter("form IS NOT NULL"))
-    return rows.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(merged(last), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 SQL = r"""
