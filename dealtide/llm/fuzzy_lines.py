@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash over character shingles. DataFrame operations only.
 
-A line's signature holds the least shingle hash under each of many permutations; a permutation is the rank by
-another hash of that hash, so the values are independent for short lines too. Shingles are exploded and reduced by partial aggregates, so
-they never leave the task that reads the line. Bands of the signature index the lines; lines that share a band are
+The distinct shingles of a line are hashed once and sorted, so that they lie on a circle in an order that is random but the same for all lines. A
+band is the run of shingles that follows a fixed point of the circle: two lines have it in common if the first ones there, of both lines, are
+common. Short lines have a run from each of their shingles, which misses no pair. Runs index the lines; lines that share one are
 verified by the exact Jaccard likeness of their shingle sets, and union-find joins what is similar.
 """
 
@@ -17,21 +17,18 @@ from .registry import query
 #: Characters of a shingle; a shorter line is one shingle.
 SHINGLE = 5
 PERCENT = 80
-#: Bands of a signature and values of a band. A pair at the threshold shares a band with probability 0.999.
-BANDS, ROWS = 10, 3
-#: Of 30 signature values, kept as four bits each, so many may differ for a pair to be verified. At the threshold more differ
-#: with probability 0.0001, at a likeness of 0.3 nearly always.
-DIFFER = 14
+#: Points of the circle from which a run is a band, and shingles of a run. A pair at the threshold shares a band with probability 0.999.
+BANDS, ROWS = 18, 5
+#: Distinct shingles up to which a line has runs from each of them, from which on it has bands, and shingles of such a run. Similar lines
+#: differ in size by a quarter at most, so both are done alike. Of similar lines' shingles four in a row are common somewhere, for those that are not are a fifth at most.
+ALL, SOME, SHORT_ROWS = 40, 32, 4
+#: The shingles that follow so many points are kept as four bits each, of lines of more than SKETCHED shingles; so many may differ for a pair to be
+#: verified. At the threshold more differ with probability 0.0001, at a likeness of 0.3 nearly always.
+POINTS, SKETCHED, DIFFER = 32, 60, 14
 #: Most bands are shared by a few lines that met by chance. Up to so many are compared with one another at once.
 FEW = 16
 
 
-def values(shingle: Column, count: int) -> list[Column]:
-    """``count`` ranks of a shingle's hash. A hash with a seed of its own gives two, by its high and by its low half first."""
-    hashes = [F.xxhash64(shingle, F.lit(n)) for n in range(-(-count // 2))]
-    return [rank for h in hashes for rank in (h, F.shiftleft(h, 32))][:count]
-
-
 def points(line: Column) -> Column:
     """Four bytes a character, so that a shingle is cut out by its place."""
     return F.encode(line, "UTF-32")
@@ -43,42 +40,87 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.filter(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
-def signatures(lines: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(sid, n, keys) of the lines (sid, line): a key per band; ``n`` holds four bits of each signature value."""
-    count = F.greatest(F.length("line") - size + 1, F.lit(1))
-    bodies = once(lines.select("sid", "line"), body=points(F.col("line")), count=count)  # else computed for every shingle
-    cut = bodies.select("sid", "body", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
-    hashed = cut.select("sid", F.xxhash64(F.substring(F.col("body"), F.col("at") * 4 + 1, F.lit(4 * size))).alias("h"))
-    least = [F.min(rank).alias(f"m{n}") for n, rank in enumerate(values(F.col("h"), bands * rows))]
-    signed = hashed.groupBy("sid").agg(*least)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
-    half = bands * rows // 2
+def circles(lines: DataFrame, size: int) -> DataFrame:
+    """(sid, s) of the lines (sid, line), each sid once: the hashes of its distinct shingles, in order."""
+    lines = lines.groupBy("sid").agg(F.first("line").alias("line"))
+    rows = once(lines, body=points(F.col("line"))).select("sid", "body")
+    rows = once(rows, s=shingle_set("body", size)).select("sid", "s")
+    return once(rows, s=F.sort_array("s"))
+
+
+def signatures(lines: DataFrame, size: int) -> DataFrame:
+    """(sid, n, ring, at) of the lines (sid, line): the circle from its start to some way beyond its end, and where on it the first shingle
+    after each point lies; ``n`` holds four bits of each of those, null for short lines."""
+    step = (1 << 64) // POINTS
+    marks = F.array(*[F.lit(n * step - (1 << 63)) for n in range(POINTS)])
+    merged = once(circles(lines, size), _all=F.sort_array(F.concat("s", marks)))
+    # how many shingles lie before a point: its place in the merged order less the points before it; past the last shingle comes the first
+    is_mark = lambda i: F.get("_all", i).bitwiseAND(F.lit(step - 1)) == 0
+    places = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), is_mark)
+    rows = once(merged, _places=places, ring=F.concat("s", F.slice("s", 1, max(ROWS, SHORT_ROWS)))).select("sid", "ring", "_places")
+    rows = once(rows, at=F.transform("_places", lambda i, n: i - n)).select("sid", "ring", "at")
+
+    def packed(first: int) -> Column:
+        nibble = lambda at: F.get("ring", at).bitwiseAND(F.lit(15).cast("long"))
+        return F.aggregate(F.slice("at", first + 1, POINTS // 2), F.lit(0).cast("long"), lambda found, at: F.shiftleft(found, 4).bitwiseOR(nibble(at)))
+
+    count = shingles()
+    return rows.select("sid", F.when(count > SKETCHED, F.struct(packed(0).alias("low"), packed(POINTS // 2).alias("high"))).alias("n"), "ring", "at")
+
+
+def shingles() -> Column:
+    """How many shingles lie on a ``ring``, which goes on with its first ones, all of them if they are fewer."""
+    return F.when(F.size("ring") < 2 * max(ROWS, SHORT_ROWS), (F.size("ring") / 2).cast("int")).otherwise(F.size("ring") - max(ROWS, SHORT_ROWS))
+
+
+def firsts() -> Column:
+    """Where on its ring the runs of a line start, and whether they are those of a short line."""
+    count, none = shingles(), F.array().cast("array<struct<first:int,short:boolean>>")
+    place = lambda first, short: F.struct(first.alias("first"), F.lit(short).alias("short"))
+    every = F.when(count <= ALL, F.transform(F.sequence(F.lit(0), count - 1), lambda n: place(n, True))).otherwise(none)
+    chosen = F.when(count >= SOME, F.array(*[place(F.get("at", F.lit(n * POINTS // BANDS)), False) for n in range(BANDS)])).otherwise(none)
+    return F.concat(every, chosen)
+
 
-    def packed(first: int, last: int) -> Column:
-        found = F.lit(0).cast("long")
-        for place, n in enumerate(range(first, last)):
-            found = found.bitwiseOR(F.shiftleft(F.xxhash64(f"m{n}").bitwiseAND(F.lit(15).cast("long")), 4 * place))
-        return found
+def key() -> Column:
+    """The key of a run: its shingles are picked one by one, as a slice would copy the ring."""
+    run = lambda length: F.xxhash64(*[F.get("ring", F.col("first") + n) for n in range(length)])
+    return F.when(F.col("short"), run(SHORT_ROWS)).otherwise(run(ROWS))
 
-    sketch = F.struct(packed(0, half).alias("low"), packed(half, bands * rows).alias("high"))
-    return signed.select("sid", sketch.alias("n"), keys.alias("keys"))
+
+def gathered(signed: DataFrame) -> DataFrame:
+    """(sig, sid, low, high) of ``signatures``: a row per band that several lines share, without a sketch, and one per line with its sketch.
+
+    All go through one exchange, so that signatures are neither stored nor made twice.
+    """
+    group = Window.partitionBy("sig")
+    own = F.when(F.col("n").isNotNull(), F.array(F.struct(F.lit(-1).alias("first"), F.lit(False).alias("short")))).otherwise(F.array().cast("array<struct<first:int,short:boolean>>"))
+    rows = signed.select("sid", "n", "ring", F.explode(F.concat(firsts(), own)).alias("_to")).select("sid", "n", "ring", "_to.first", "_to.short")
+    sketch = [F.when(F.col("first") < 0, F.col(f"n.{part}")).alias(part) for part in ("low", "high")]
+    rows = rows.select(F.when(F.col("first") < 0, F.xxhash64("sid")).otherwise(key()).alias("sig"), "sid", *sketch)
+    rows = rows.withColumn("least", F.min("sid").over(group)).withColumn("most", F.max("sid").over(group))
+    return rows.filter("least <> most OR low IS NOT NULL").select("sig", "sid", "low", "high")
+
+
+def with_sketches(rows: DataFrame) -> DataFrame:
+    """(sig, sid, n) of the bands in what ``gathered`` returns."""
+    sketches = rows.filter("low IS NOT NULL").select("sid", F.struct("low", "high").alias("n"))
+    return rows.filter("low IS NULL").select("sig", "sid").distinct().join(sketches, "sid", "left").select("sig", "sid", "n")  # two points may have one run
 
 
 def shared_bands(signed: DataFrame) -> DataFrame:
     """(sig, sid, n) of ``signatures``, a row per band that several lines share. Sketches are fetched for these rows only."""
-    group = Window.partitionBy("sig")
-    entries = signed.select("sid", F.explode("keys").alias("sig"))
-    entries = entries.withColumn("least", F.min("sid").over(group)).withColumn("most", F.max("sid").over(group)).filter("least <> most").select("sig", "sid")
-    return entries.join(signed.select("sid", "n"), "sid").select("sig", "sid", "n")
+    return with_sketches(gathered(signed))
 
 
-def banded(lines: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def banded(lines: DataFrame, size: int) -> DataFrame:
     """(sig, sid, n) of the lines (sid, line), a row per band."""
-    return signatures(lines, size, bands, rows).select("sid", "n", F.explode("keys").alias("sig"))
+    rows = signatures(lines, size).select("sid", "n", "ring", F.explode(firsts()).alias("_to")).select("sid", "n", "ring", "_to.first", "_to.short")
+    return rows.select(key().alias("sig"), "sid", "n").distinct()
 
 
 def differing(a: str, b: str) -> Column:
-    """In how many of their values two sketches differ."""
+    """In how many of their values two sketches differ; null if there are not two."""
     total = F.lit(0)
     for part in ("low", "high"):
         x = F.col(f"{a}.{part}").bitwiseXOR(F.col(f"{b}.{part}"))
@@ -127,11 +169,17 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     lines = lines_of(docs.select(F.col("_row").alias("rk"), "doc_id", "text"))
     placed = settled(lines.select("rk", "doc_id", "line_no", F.xxhash64("line").alias("sid")))
     numbered = lines.select(F.xxhash64("line").alias("sid"), "line")
-    signed = settled(signatures(numbered, size))
-    released(docs.sparkSession)
-    entries = settled(shared_bands(signed))
+    found = settled(gathered(signatures(numbered, size)))
     released(docs.sparkSession)
-    labels = settled(components(star_links(entries, lambda pairs: similar(pairs, numbered, size, percent), differing("n", "m") <= DIFFER, FEW)))
+    entries = settled(with_sketches(found))
+    asked: list[DataFrame] = []
+
+    def fetched(sids: DataFrame) -> None:
+        asked[:] = [settled(numbered.join(sids, "sid", "left_semi").groupBy("sid").agg(F.first("line").alias("line")))]
+        released(docs.sparkSession)
+
+    possible = F.coalesce(differing("n", "m") <= DIFFER, F.lit(True))
+    labels = settled(components(star_links(entries, lambda pairs: similar(pairs, asked[0], size, percent), possible, FEW, fetched=fetched)))
     known = placed.join(labels, placed["sid"] == labels["node"], "left").select("rk", "doc_id", "line_no", F.coalesce("component", "sid").alias("component"))
     known = settled(known)
     first = known.groupBy("component").agg(F.min(F.struct("doc_id", "line_no", "rk")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first")
